@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import op6_line_dedup, op8_sharding
+from . import op2_quality, op4_exact_dedup, op6_line_dedup, op7_pii, op8_sharding
 
 MODULES = {
+    "op2_quality": op2_quality,
+    "op4_exact_dedup": op4_exact_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op7_pii": op7_pii,
     "op8_sharding": op8_sharding,
 }
 

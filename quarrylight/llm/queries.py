@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import op2_quality, op4_exact_dedup, op6_line_dedup, op7_pii, op8_sharding
+from . import op1_token_file, op2_quality, op4_exact_dedup, op6_line_dedup, op7_pii, op8_sharding, op9_packing
 
 MODULES = {
+    "op1_token_file": op1_token_file,
     "op2_quality": op2_quality,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_pii": op7_pii,
     "op8_sharding": op8_sharding,
+    "op9_packing": op9_packing,
 }
 
 

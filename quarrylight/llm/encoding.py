@@ -101,12 +101,28 @@ class WordEncoder(Encoder):
                 self.known[chunk] = own.tobytes()
 
 
-class ByteEncoder(Encoder):
-    """For byte-level vocabularies, where a word's first token holds the space before it.
+def byte_chunks(text: str) -> list:
+    """A text cut where no byte-level piece crosses: before white space.
 
-    A chunk is a word without the one space before it, ``(1, s)`` for a string
-    as it stands, or a line end with the word after it.
+    A chunk is a word without the one space before it, a line end with the word
+    after it, or ``(1, s)`` for a string as it stands.
     """
+    if not text:
+        return []
+    if len(text.split()) == text.count(" ") + text.count("\n") + 1:  # single spaces and line ends only, between words
+        parts = text.replace("\n", " \n").split(" ")
+        if "" not in parts and "\n" not in parts:  # other white space can make up for double spaces
+            return [(1, parts[0]), *parts[1:]]
+    return [(1, c) for c in CHUNKS.findall(text)]
+
+
+def chunk_text(chunk) -> str:
+    """What a chunk stands for in the text."""
+    return chunk[1] if type(chunk) is tuple else chunk if chunk[0] == "\n" else " " + chunk
+
+
+class ByteEncoder(Encoder):
+    """For byte-level vocabularies, where a word's first token holds the space before it."""
 
     def __init__(self, path: str):
         super().__init__(path)
@@ -114,14 +130,7 @@ class ByteEncoder(Encoder):
         self.begins = np.zeros(max(vocab.values()) + 1, bool)
         self.begins[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
 
-    def split(self, text: str) -> list:
-        if not text:
-            return []
-        if len(text.split()) == text.count(" ") + text.count("\n") + 1:  # single spaces and line ends only, between words
-            parts = text.replace("\n", " \n").split(" ")
-            if "" not in parts and "\n" not in parts:  # other white space can make up for double spaces
-                return [(1, parts[0]), *parts[1:]]
-        return [(1, c) for c in CHUNKS.findall(text)]
+    split = staticmethod(lambda text: byte_chunks(text))
 
     @staticmethod
     def text(chunk) -> str:
@@ -142,7 +151,7 @@ class ByteEncoder(Encoder):
                 self.known[chunk] = raw[s:e]
         alone = [c for c, _ in chunks if type(c) is tuple or c[0] == "\n"]
         if alone:
-            for chunk, own in zip(alone, self.ids([c[1] if type(c) is tuple else c for c in alone]), strict=True):
+            for chunk, own in zip(alone, self.ids([chunk_text(c) for c in alone]), strict=True):
                 self.known[chunk] = own.tobytes()
 
 

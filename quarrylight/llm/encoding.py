@@ -44,7 +44,7 @@ class Encoder:
         parts = [self.split(t) for t in texts]
         if len(self.known) > MAX_CHUNKS:
             self.known.clear()
-        new = set().union(*parts) - self.known.keys()
+        new = set().union(*parts).difference(self.known)  # a dict is probed, not read through
         if new:
             self.learn(new)
         get = self.known.__getitem__
@@ -59,7 +59,7 @@ class Encoder:
                 pairs.append((chunk, self.key(m[1]), self.bare(m[2])))
             else:
                 plain.append((chunk, text))
-        need = {k for _, a, b in pairs for k in (a, b)} - known.keys()
+        need = {k for _, a, b in pairs for k in (a, b)}.difference(known)
         need.difference_update(c for c, _ in plain)
         plain += [(k, self.text(k)) for k in need]
         for i in range(0, len(plain), JOIN):

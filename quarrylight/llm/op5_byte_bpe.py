@@ -57,6 +57,7 @@ class MergeReplay:
         self.token_start = np.zeros(self.size + 1, np.int64)
         for rank, token in by_id:
             self.token_start[rank + 1] = len(token)
+        self.token_size = self.token_start[1:].copy()
         self.token_start = np.cumsum(self.token_start)
         self.token_bytes = np.frombuffer(b"".join(t for _, t in by_id), np.uint8)
 
@@ -164,7 +165,7 @@ class MergeReplay:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of tokens, gathered from one table."""
-        start, size = self.token_start[ids], np.diff(self.token_start)[ids]
+        start, size = self.token_start[ids], self.token_size[ids]
         ends = np.cumsum(size)
         if not len(ids):
             return b""
@@ -190,7 +191,7 @@ class BlockEncoder:
         """The numbers of the text's chunks; new chunks get new numbers."""
         chunks = byte_chunks(text)
         number = self.number
-        for c in set(chunks) - number.keys():
+        for c in set(chunks).difference(number):  # a dict is probed, not read through
             number[c] = len(number)
         return np.fromiter(map(number.__getitem__, chunks), np.int32, len(chunks))
 

@@ -6,6 +6,7 @@ from quarrylight.ship import ship
 
 from . import (
     op1_token_file,
+    op10_jaccard_join,
     op2_quality,
     op3_language_id,
     op4_exact_dedup,
@@ -26,6 +27,7 @@ MODULES = {
     "op7_pii": op7_pii,
     "op8_sharding": op8_sharding,
     "op9_packing": op9_packing,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # White space of the contracts: U+0020 and U+0009 to U+000D.
@@ -65,9 +63,36 @@ def columns(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(name) for name, c in wanted.items()])
 
 
-def tables(out: Iterable[list], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for cols in out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row in one struct, so that no name can clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row_")
+
+
+def text_hash(text: Column) -> Column:
+    """Tells rows with the same id apart; rows alike in both are repeated rows."""
+    return F.xxhash64(text)
+
+
+def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
+    """The rows of ``docs`` that ``decisions`` (doc_id, text_hash, kept; a row for each) keeps.
+
+    Ids of rows that go (16 bytes each) are broadcast up to ``broadcast_rows``
+    and joined by shuffle beyond.  Of repeated rows as many stay as were kept,
+    which for a dedup is one.
+    """
+    by = decisions.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("long")).alias("stay"))
+    by = stored(by.filter("stay < n"), "decisions")
+    named = docs.select(whole_row(docs), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_hash(text_of(text_col)).alias("text_hash"))
+    few = by.count() <= broadcast_rows
+    gone = by.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "stay")
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash"))
+    rest = named.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    repeated = gone.filter("stay > 0")
+    if repeated.head(1):
+        some = named.join(F.broadcast(repeated) if few else repeated, same)
+        place = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy(F.lit(0)))
+        rest = rest.select("row_").unionByName(some.withColumn("place", place).filter("place <= stay").select("row_"))
+    return rest.select("row_.*")
 
 
 def text_of(name: str = "text") -> Column:

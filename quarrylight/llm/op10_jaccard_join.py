@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, batched, columns, dropped, stored, text_of
+from .common import LAST_ID, batched, columns, dropped, stored, text_hash, text_of
 from .components import components
 
 SHINGLE = 5
@@ -317,7 +317,7 @@ def with_shingles(texts: DataFrame) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """One row per input row: doc_id, class_id, n_links, kept.
+    """One row per input row: doc_id, class_id, n_links, kept, text_hash.
 
     class_id is the smallest doc_id among all rows tied to this one by links, a
     link being a Jaccard similarity of at least ``threshold``; n_links is the
@@ -328,7 +328,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     least = least_matches(threshold, tolerance)
     docs = columns(docs, doc_id=id_col, text=text_col)
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.xxhash64(text_of()).alias("tx"), text_of().alias("text"))
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), text_hash(text_of()).alias("tx"), text_of().alias("text"))
     rows = stored(sketched(docs), "jaccard-rows")
     rank = F.coalesce("doc_id", F.lit(LAST_ID))
     classes = rows.filter("s1 is not null").groupBy("s1", "s2")
@@ -362,7 +362,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = named.join(first, "root").select("row", F.coalesce("links", F.lit(0)).alias("links"), "first")
     info = classes.select("s1", "s2", "copies", F.col("best.row").alias("row")).join(named, "row")
     info = stored(info.select("s1", "s2", "copies", "links", "first"), "jaccard-info")
-    out = rows.select("row", "doc_id", "s1", "s2").join(info, ["s1", "s2"], "left")
+    out = rows.select("row", "doc_id", "tx", "s1", "s2").join(info, ["s1", "s2"], "left")
     alone = F.col("first").isNull()
     class_id = F.when(F.col("first.rank") == LAST_ID, F.lit(None)).otherwise(F.col("first.rank"))
     return out.select(
@@ -370,11 +370,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.when(alone, F.col("doc_id")).otherwise(class_id).alias("class_id"),
         F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_links"),
         (alone | (F.col("row") == F.col("first.row"))).alias("kept"),
+        F.col("tx").alias("text_hash"),
     )
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
 
 
 ORACLE = None  # MinHash and posterior pruning: held against all pairs in tests/llm

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import batched, columns
+from .common import batched, whole_row
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -150,7 +151,7 @@ def measure(texts: list[str | None], min_span: int = MIN_SPAN) -> list[np.ndarra
 
 def quality(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_span: int = MIN_SPAN, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST,
-    keep_text: bool = False,
+    carry: bool = False,
 ) -> DataFrame:
     """One row per input row: the base counts, the repeats' figures and the verdict.
 
@@ -159,21 +160,20 @@ def quality(
     ``min_span`` words or more are at most ``max_covered`` of all, and the
     longest repeat has at most ``max_longest`` words.  A null or empty text has
     no words and fails.  Texts are never cut; a batch holds the whole texts of
-    at most 256 rows.  Other input columns are ignored, unless ``keep_text``
-    asks for the text.
+    at most 256 rows.  Other input columns are ignored; ``carry`` adds the
+    whole input row as the struct ``row_``.
     """
     batched(docs.sparkSession)
-    rows = columns(docs, doc_id=id_col, text=text_col)
-    schema = pa.schema([("doc_id", pa.int64()), *FIELDS, *([("text", pa.string())] if keep_text else [])])
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *([whole_row(docs)] if carry else []))
+    schema = rows.drop("text", "row_").withColumns({name: F.lit(0).cast("long") for name, _ in FIELDS})
+    schema = schema.schema if not carry else StructType([*schema.schema.fields, rows.schema["row_"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = b.column(1)
-            figures = [pa.array(x) for x in measure(text.to_pylist(), min_span)]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *figures, *([text.cast(pa.string())] if keep_text else [])], schema=schema)
+            figures = [pa.array(x) for x in measure(b.column(1).to_pylist(), min_span)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *figures, *([b.column(2)] if carry else [])], names=schema.names)
 
-    types = ", ".join(["doc_id long", *[f"{name} long" for name, _ in FIELDS], *(["text string"] if keep_text else [])])
-    out = rows.mapInArrow(run, types)
+    out = rows.mapInArrow(run, schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     good = (F.col("covered_words") <= max_covered * F.col("n_words")) & (F.col("longest_repeat") <= max_longest)
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & good)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, batched, columns, squeezed, stored, text_of
+from .common import LAST_ID, batched, columns, squeezed, stored, text_hash, text_of
 
 OWNER_ROWS = 250_000  # fingerprints an owner should get, for the choice of their number
 BROADCAST_ROWS = 500_000  # suspects' fingerprints (8 bytes each) that may be broadcast; beyond it they are joined by shuffle
@@ -123,7 +123,7 @@ def suspects(sent: DataFrame, answers: DataFrame, owners: int) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, text_hash.
 
     Texts are equal when they are after each run of white space (U+0020, U+0009
     to U+000D) became one space; null counts as empty.  Of equal texts the
@@ -134,12 +134,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     batched(spark, 20_000)
     text = squeezed(text_of()).cast("binary")
-    docs = columns(docs, doc_id=id_col, text=text_col)
+    docs = columns(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     digest = F.sha2(text, 256)
     # 56 bits of a second, cheap hash; the digest is for grouping and output only.
     fp = F.shiftrightunsigned(F.xxhash64(text), 64 - FP_BITS)
     # The number of a row, fixed by storing it, tells repeated rows apart.
-    rows = stored(docs.select("doc_id", fp.alias("fp"), digest.alias("sha"), F.monotonically_increasing_id().alias("row")), "dedup-rows")
+    rows = stored(docs.select("doc_id", fp.alias("fp"), digest.alias("sha"), text_hash(text_of()).alias("text_hash"), F.monotonically_increasing_id().alias("row")), "dedup-rows")
     owners = max(1, -(-rows.count() // OWNER_ROWS), min(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     sent = stored(shares(rows, owners), "dedup-shares")
     doubtful = stored(suspects(sent, bitmaps(sent, owners), owners), "dedup-suspects")
@@ -161,11 +161,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("row") == F.col("best.row"))).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        "text_hash",
     )
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
 
 
 ORACLE = r"""

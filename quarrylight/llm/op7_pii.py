@@ -17,8 +17,9 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import batched, columns
+from .common import batched, whole_row
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -154,17 +155,18 @@ def redact(text: str, spans: list) -> str:
     return "".join([*out, text[done:]])
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE, carry: bool = False) -> DataFrame:
     """One row per input row: doc_id, base counts, base_spans, spans (text form), and the redacted text.
 
     A null or empty text has no spans and becomes empty.  Positions are code
     points, ends exclusive.  Spans of different kinds may overlap.  Other input
-    columns are ignored.
+    columns are ignored; ``carry`` adds the whole input row as the struct ``row_``.
     """
     batched(docs.sparkSession)
-    rows = columns(docs, doc_id=id_col, text=text_col)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *([whole_row(docs)] if carry else []))
     names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_spans", "spans", "text"]
-    schema = pa.schema([(n, pa.int64() if i < 5 else pa.string()) for i, n in enumerate(names)])
+    fields = [StructField(n, LongType() if i < 5 else StringType()) for i, n in enumerate(names)]
+    schema = StructType([*fields, *([rows.schema["row_"]] if carry else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,9 +178,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
                 counts = [sum(k == i for _, k, _ in base) for i in range(4)]
                 for c, v in zip(cols, [*counts, joined(base), joined(every), redact(text, every) if every else text], strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *[pa.array(c, t) for c, t in zip(cols, schema.types[1:], strict=True)]], schema=schema)
+            made = [pa.array(c, pa.int64() if i < 4 else pa.string()) for i, c in enumerate(cols)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made, *([b.column(2)] if carry else [])], names=schema.names)
 
-    return rows.mapInArrow(run, ", ".join(f"{n} {'long' if i < 5 else 'string'}" for i, n in enumerate(names)))
+    return rows.mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

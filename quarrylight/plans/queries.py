@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import turns as T
 from ..operators import category, contract, fusion, index, metrics, profile, rankers, rerank, session
+from . import simulate
 from . import sql as S
 from .tables import documents, product_messages, products, questions, session_turns, table
 
@@ -657,6 +658,58 @@ def grid_summary(spark, sf):
     return metrics.grid_summary(g.select("fold", config.alias("config"), score.alias("score")), F.col("config") == "1/1/1/0")
 
 
+# ---- simulator --------------------------------------------------------------
+
+
+def cards(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Parts as products with features, details and text, and their intent cards."""
+    p = products(spark, sf).withColumns({
+        "features": F.array(F.element_at("path", 1), "store"), "details": F.create_map(F.lit("size"), F.col("size").cast("string")),
+        "text": F.concat_ws(" ", "title", "categories", "store"),
+    })
+    return p, simulate.intent_cards(p)
+
+
+CARD = """card AS (SELECT p_partkey AS doc_id, p_type || ' ' || p_brand AS category, nullif(regexp_extract(lower(p_name), '\\b(black|white|blue|red|pink|green|brown|gray|grey|purple|yellow|orange)\\b', 1), '') AS color,
+  [p_type, p_brand, 'size: ' || p_size] AS base, 'budget around $' || p_retailprice AS price FROM part),
+every AS (SELECT doc_id, category, list_concat(CASE WHEN color IS NULL THEN base ELSE list_concat(base[1:1], ['color: ' || color], base[2:]) END, [price]) AS v FROM card)"""
+
+
+@query(f"WITH {CARD} SELECT doc_id, category, v[1:2] AS hard, v[3:4] AS soft FROM every")
+def intent_cards(spark, sf):
+    return cards(spark, sf)[1]
+
+
+def samples(spark, sf) -> DataFrame:
+    """One sample per part: 40 % buying, 40 % browsing, 15 % override, 5 % boundary."""
+    k = F.col("doc_id") % 20
+    scenario = F.when(k < 8, "buying").when(k < 16, "browsing").when(k < 19, "intent_override").otherwise("boundary")
+    return products(spark, sf).select(F.concat(F.lit("sample_"), F.col("doc_id").cast("string")).alias("sample_id"), scenario.alias("scenario_type"), F.col("doc_id").alias("target"))
+
+
+@query(f"""WITH {CARD}, s AS (SELECT *, doc_id % 20 AS k FROM every) SELECT 'sample_' || doc_id AS sample_id, CASE WHEN k < 8 THEN 'I''m looking for ' || category || '. A key requirement is: ' || v[1] || '.'
+  WHEN k < 16 OR k = 19 THEN 'I''m looking for ' || category || ', but I''m still exploring.' ELSE 'I''m looking for ' || category || '. ' || v[4] END AS opening,
+  CASE WHEN k = 19 THEN 'I don''t have a preference for other; please use your judgment.' WHEN k < 8 THEN 'For that, what matters is: ' || v[2] || '; ' || v[3] || '.' ELSE 'For that, what matters is: ' || v[1] || '; ' || v[2] || '.' END AS answer FROM s""")
+def simulator_replies(spark, sf):
+    p, c = cards(spark, sf)
+    rows = simulate.opened(simulate.hidden(samples(spark, sf), c), "clean")
+    rows = rows.withColumn("opening", F.col("message"))
+    return simulate.replied(rows, 1, "clean", F.lit("other")).select("sample_id", "opening", F.col("message").alias("answer"))
+
+
+@query()
+def paraphrase(spark, sf):
+    c = table(spark, sf, "conversations")
+    seed = X.seed16(F.concat_ws("_", F.lit("sample"), "conv_id"))
+    return c.select("conv_id", "turn", simulate.paraphrase(F.col("text"), seed, 0.25).alias("text"))
+
+
+@query()
+def evaluate_loop(spark, sf):
+    p, c = cards(spark, sf)
+    return simulate.evaluate(samples(spark, sf), p, c)
+
+
 # ---- profiling --------------------------------------------------------------
 
 

@@ -1,56 +1,17 @@
-"""Shared pieces: durable intermediate tables, ASCII white space, Arrow batches."""
+"""Shared pieces of the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarrylight.storage import dropped, shared_dir, stored  # noqa: F401
+
 # White space of the contracts: U+0020 and U+0009 to U+000D.
 WS = " \t\n\x0b\x0c\r"
 LAST_ID = (1 << 63) - 1  # rank of a null id: after every other id
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    A local temporary folder is used only where the setting is absent, which is
-    the case in tests on one machine.
-    """
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarrylight-"))
-        path = spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/")
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    The plan of what follows starts at the files: a lost executor costs the
-    tasks it ran, never the stages before, and results of order-dependent
-    Python code are fixed once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarrylight/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a ``stored`` table that nothing will read again."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/quarrylight/" not in folder:
-            raise ValueError(f"not a stored table: {folder}")
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def batched(spark: SparkSession, rows: int = 256) -> None:
     """Keep Arrow batches small, since one text may have many megabytes."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -22,7 +22,7 @@ from .common import batched, columns, stored
 from .encoding import encoder
 
 WINDOW = 1024
-OPEN = 256  # open windows of a partition
+OPEN = 64  # open windows of a partition; more hardly lower the padding
 END_ID = 0
 MERGED_PARTS = 64  # partitions whose leftovers one task merges: at most MERGED_PARTS * OPEN lengths
 MERGED = 1 << 28  # where the numbers of merging groups begin, above those of partitions

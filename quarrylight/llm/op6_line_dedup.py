@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, WS, columns, text_of
+from .common import LAST_ID, WS, columns, stored, text_of
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -49,7 +49,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         counts = lines.select("h1", "h2", "rank").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("rank").alias("first"))
         held = counts.filter(F.col("n") >= min_docs)
-    gone = lines.join(held.select("h1", "h2", "first"), ["h1", "h2"]).filter(F.col("rank") != F.col("first"))
+    # Stored, it is one side of a plain join, whose other side's hot hashes adaptive execution can split.
+    held = stored(held.select("h1", "h2", "first"), "lines-held")
+    gone = lines.join(held, ["h1", "h2"]).filter(F.col("rank") != F.col("first"))
     gone = gone.groupBy("rank", "same").agg(F.collect_set("pos").alias("gone"))
     out = docs.join(gone, ["rank", "same"], "left")
     parts = F.split("text", "\n")

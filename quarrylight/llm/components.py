@@ -23,14 +23,16 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     before = mark(edges)
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Stored, the minima are one side of a plain join, whose other side's hubs adaptive execution can split.
+        least_of_all = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = both.join(least_of_all, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Every link of ``large`` leads from a node to a smaller one.
         down = large.filter("u <> v")
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = stored(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         dropped(edges)
+        dropped(least_of_all)
         edges, after = new, mark(new)
         if after == before:
             return edges.select("u", F.col("v").alias("root"))

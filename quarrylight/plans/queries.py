@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import turns as T
 from ..operators import category, contract, fusion, index, metrics, profile, rankers, rerank, session
+from ..ship import ship
 from . import simulate
 from . import sql as S
 from .tables import documents, product_messages, products, questions, session_turns, table
@@ -53,12 +55,12 @@ def normalise_text(spark, sf):
 
 @query("""SELECT p_partkey AS doc_id, 'brand ' || p_brand || ' type ' || p_type AS details, p_name || ' ' || p_type AS features,
   lower(p_name) || ' ' || lower(p_brand) || '  ' || lower(p_type) AS full_text,
-  substr(p_name || ' | ' || p_type || ' | ' || p_brand, 1, 20) AS dense FROM part""")
+  substr(p_name || ' | ' || p_type || ' | ' || p_brand, 1, 512) AS dense FROM part""")
 def flatten_fields(spark, sf):
     p = table(spark, sf, "part")
     details = X.flatten_map(F.create_map(F.lit("brand"), "p_brand", F.lit("type"), "p_type"))
     full = X.document_text(X.normalise(F.col("p_name")), X.normalise(F.col("p_brand")), F.lit(None).cast("string"), X.normalise(F.col("p_type")))
-    dense = X.dense_text(F.col("p_name"), F.col("p_type"), F.col("p_brand"), F.lit(""), 20)
+    dense = X.dense_text(F.col("p_name"), F.col("p_type"), F.col("p_brand"), F.lit(""))
     return p.select(F.col("p_partkey").alias("doc_id"), details.alias("details"), X.flatten_array(F.array("p_name", "p_type")).alias("features"), full.alias("full_text"), dense.alias("dense"))
 
 
@@ -81,7 +83,7 @@ def label_buckets(spark, sf):
     return category.buckets(category.doc_labels(products(spark, sf)))
 
 
-@query("""WITH v AS (SELECT doc_id, trim(regexp_replace(substr(coalesce(text, ''), 1, 400), '\\s+', ' ', 'g'), ' -;,.' || chr(9) || chr(10)) AS c FROM documents)
+@query("""WITH v AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), ' -;,.' || chr(9) || chr(10)) AS c FROM documents)
 SELECT doc_id, rtrim(substr(c, 1, 180)) AS constraint_text,
   CASE WHEN regexp_matches(lower(c), 'budget|(?:\\$|<=|under)\\s*[0-9]') THEN 'budget'
   WHEN regexp_matches(lower(c), 'cotton|polyester|nylon|leather|wool|spandex|silk|rayon|fabric') THEN 'material'
@@ -90,9 +92,8 @@ SELECT doc_id, rtrim(substr(c, 1, 180)) AS constraint_text,
   WHEN regexp_matches(lower(c), 'department|style|fit|sleeve|neck') THEN 'style'
   WHEN regexp_matches(lower(c), 'hiking|running|gym|winter|outdoor|work') THEN 'use_case' ELSE 'feature' END AS kind FROM v""")
 def constraint_kinds(spark, sf):
-    # The first 400 characters are the field here, as a constraint is a line of a product.
-    raw = F.substring(F.coalesce("text", F.lit("")), 1, 400)
-    cleaned = X.clean_constraint(raw, 400)
+    raw = F.coalesce("text", F.lit(""))
+    cleaned = X.clean_constraint(raw, 2**31 - 1)
     return table(spark, sf, "documents").select("doc_id", X.clean_constraint(raw, 180).alias("constraint_text"), X.classify_constraint(cleaned).alias("kind"))
 
 
@@ -749,8 +750,19 @@ def event_windows(spark, sf):
     return out.select(F.col("window.start").alias("start"), "event_type", "n", "value")
 
 
+def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, with the package's sources sent to the executors first."""
+
+    @wraps(f)
+    def run(spark, sf):
+        ship(spark)
+        return f(spark, sf)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {name: shipped(f) for name, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.storage import dropped, shared_dir, stored  # noqa: F401
@@ -38,8 +38,8 @@ def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", tex
     """The rows of ``docs`` that ``decisions`` (doc_id, text_hash, kept; a row for each) keeps.
 
     Ids of rows that go (16 bytes each) are broadcast up to ``broadcast_rows``
-    and joined by shuffle beyond.  Of repeated rows as many stay as were kept,
-    which for a dedup is one.
+    and joined by shuffle beyond.  Of repeated rows of which some were kept and
+    some not, one stays.
     """
     by = decisions.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("long")).alias("stay"))
     by = stored(by.filter("stay < n"), "decisions")
@@ -50,9 +50,9 @@ def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", tex
     rest = named.join(F.broadcast(gone) if few else gone, same, "left_anti")
     repeated = gone.filter("stay > 0")
     if repeated.head(1):
-        some = named.join(F.broadcast(repeated) if few else repeated, same)
-        place = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy(F.lit(0)))
-        rest = rest.select("row_").unionByName(some.withColumn("place", place).filter("place <= stay").select("row_"))
+        # Rows alike in id and text are decided alike, or are copies of which one stays.
+        some = named.join(F.broadcast(repeated) if few else repeated, same).dropDuplicates(["doc_id", "text_hash"])
+        rest = rest.select("row_").unionByName(some.select("row_"))
     return rest.select("row_.*")
 
 

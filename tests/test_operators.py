@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import text as X
 from quarrylight.functions import turns as T
-from quarrylight.operators import category, contract, fusion, metrics, rankers, rerank, session
+from quarrylight.operators import category, contract, dense, fusion, metrics, rankers, rerank, session
 from quarrylight.plans import search as P
 from quarrylight.plans import simulate
-from quarrylight.sources import catalog
+from quarrylight.sources import catalog, model_client
 from quarrylight.streaming.session_stream import fold_stream
 
 
@@ -170,3 +170,31 @@ def test_simulation(spark):
     out = {r.sample_id: r for r in simulate.evaluate(samples, products, cards, P.Config(fields={"title": 3.0, "categories": 2.0, "store": 1.5})).collect()}
     assert set(out) == {"s1", "s2"} and all(r.hit == (r.first_hit_turn is not None) for r in out.values())
     assert simulate.reworded("a durable gear", 1, 0.0) == "a built to last gear"
+
+
+def test_dense_space(spark):
+    texts = ["red wool scarf", "red wool hat", "blue steel bolt", "blue steel gear", "nothing"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert one(spark, dense.grams(F.lit("red wool hat"))) == ["red", "wool", "hat", "red wool", "wool hat"]
+    assert one(spark, dense.grams(F.lit("red"))) == ["red"] and one(spark, dense.grams(F.lit(""))) == []
+    v = {r.doc_id: r.vector for r in dense.project(docs, dense.fit(docs, dims=2)).collect()}
+    cos = lambda i, j: sum(a * b for a, b in zip(v[i], v[j], strict=True))
+    assert cos(0, 1) > 0.99 and cos(2, 3) > 0.99 and abs(cos(0, 2)) < 0.01 and v[4] == [0.0, 0.0]
+    got = dense.encode(docs, lambda t: [[len(x), 0.0] for x in t]).first()
+    assert got.vector == [1.0, 0.0]
+
+
+def test_model_client(tmp_path, monkeypatch):
+    (tmp_path / ".env").write_text("# no\nA_KEY='x'\nB_KEY=y\n")
+    monkeypatch.setenv("B_KEY", "kept")
+    monkeypatch.setenv("A_KEY", "")
+    monkeypatch.delenv("A_KEY")
+    assert model_client.load_settings(str(tmp_path / ".env")) == {"A_KEY": "x", "B_KEY": "y"}
+    import os
+
+    assert (os.environ["A_KEY"], os.environ["B_KEY"]) == ("x", "kept")
+    assert model_client.ranked_ids('sure: {"ranked": [3, "1"]} !') == [3, 1]
+    assert model_client.preflight("http://127.0.0.1:9/", None, "m") == "no_key"
+    assert model_client.preflight("http://127.0.0.1:9/", "k", "m").startswith("failed")
+    with pytest.raises(ValueError, match="JSON"):
+        model_client.ranked_ids("I am not JSON")

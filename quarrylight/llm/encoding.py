@@ -2,25 +2,34 @@
 
 Both vocabularies split a text at white space before any merge, so the ids of
 a text are those of its chunks in order.  Each Python worker keeps the ids of
-chunks it has met (a bounded number) and gives the library only new ones, many
-in one string.  tests/llm compares with the library's ids of whole texts.
+chunks it has met (two generations of a bounded number) and gives the library
+only new ones, many in one string.  tests/llm compares with the library's ids of whole texts.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-MAX_CHUNKS = 600_000  # chunks kept by one worker, some 100 MB
+GENERATION = 500_000  # chunks of one of the two generations that a worker keeps, some 100 MB each
 JOIN = 2_000  # new chunks given to the library in one string
 SEPARATOR = "\ue000"
 # A word of Latin letters with signs right after it: two pieces for either vocabulary.
 WORD_AND_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 # What follows white space as the byte-level patterns know it (U+001C to U+001F are none).
 CHUNKS = re.compile(r"[^\S\x1c-\x1f]*(?:\S|[\x1c-\x1f])+|[^\S\x1c-\x1f]+")
+AS_IS = "\x1c"  # begins a chunk that stands for the rest of its string
+# Texts with white space other than single spaces and line ends between words, and empty ones.
+ODD = r"\A\z|\A[ \n]|[ \n]\z|[ \n][ \n]|[\t\x{0b}-\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+OTHER_SPACE = r"[\t\x{0b}-\r]"
+COMBINING = r"[\x{300}-\x{37f}]"
 
 
 class Encoder:
@@ -34,34 +43,57 @@ class Encoder:
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.known: dict = {}
+        self.known: dict = {"": b""}
+        self.older: dict = {}
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The library's ids of each string, without special tokens."""
         return [np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self.split(t) for t in texts]
-        if len(self.known) > MAX_CHUNKS:
-            self.known.clear()
-        new = set().union(*parts).difference(self.known)  # a dict is probed, not read through
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """Each text's ids; a null text has none.  Arrow splits a batch and numbers its distinct chunks."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        if not len(column):
+            return []
+        parts = self.split(pc.fill_null(column.cast(pa.large_string()), ""))
+        chunks = parts.flatten().dictionary_encode()
+        ids = pa.array(self.look_up(chunks.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(chunks.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, ids.offset * 8) if len(ids) else np.zeros(1, np.int64)
+        cuts = parts.offsets.to_numpy()
+        cuts = ends[cuts - cuts[0]].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        return [bytes(raw[s:e]) for s, e in pairwise(cuts)]
+
+    def look_up(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks.  What was met in the last generation moves to this one."""
+        if len(self.known) > GENERATION:
+            self.known, self.older = {"": b""}, self.known
+        found = list(map(self.known.get, chunks))
+        unmet = [i for i, ids in enumerate(found) if ids is None]
+        new = []
+        for i in unmet:
+            ids = self.older.get(chunks[i])
+            if ids is None:
+                new.append(chunks[i])
+            else:
+                self.known[chunks[i]] = ids
         if new:
             self.learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        for i in unmet:
+            found[i] = self.known[chunks[i]]
+        return found
 
-    def learn(self, new: set) -> None:
+    def learn(self, new: list[str]) -> None:
         """Words followed by signs are put together from their two pieces; the rest goes to the library."""
         known, pairs, plain = self.known, [], []
         for chunk in new:
-            m = WORD_AND_SIGNS.fullmatch(text := self.text(chunk))
+            m = WORD_AND_SIGNS.fullmatch(chunk)
             if m:
-                pairs.append((chunk, self.key(m[1]), self.bare(m[2])))
+                pairs.append((chunk, m[1], self.bare(m[2])))
             else:
-                plain.append((chunk, text))
+                plain.append(chunk)
         need = {k for _, a, b in pairs for k in (a, b)}.difference(known)
-        need.difference_update(c for c, _ in plain)
-        plain += [(k, self.text(k)) for k in need]
+        plain += need.difference(plain)
         for i in range(0, len(plain), JOIN):
             self.learn_plain(plain[i : i + JOIN])
         for chunk, a, b in pairs:
@@ -69,21 +101,26 @@ class Encoder:
 
 
 class WordEncoder(Encoder):
-    """For vocabularies that lower case and drop white space; chunks are UTF-8 between white space."""
+    """For vocabularies that lower case and drop white space; chunks are what lies between white space."""
 
-    def split(self, text: str) -> list[bytes]:
-        raw = text.encode()
+    @staticmethod
+    def split(texts: pa.Array) -> pa.ListArray:
+        # The replacement also makes a column of its own: Arrow's lower case misreads slices.
+        spaced = pc.replace_substring(texts, "\n", " ")
+        if pc.any(pc.match_substring_regex(spaced, OTHER_SPACE)).as_py():
+            spaced = pc.replace_substring_regex(spaced, OTHER_SPACE, " ")
         # Lower case beforehand is safe unless a combining mark could compose differently.
-        return (raw if b"\xcc" in raw or b"\xcd" in raw else raw.lower()).split()
+        lowered = pc.if_else(pc.match_substring_regex(spaced, COMBINING), spaced, pc.ascii_lower(spaced))
+        # Neighbouring spaces give empty chunks, which have no ids.
+        return pc.split_pattern(lowered, " ")
 
-    text = staticmethod(bytes.decode)
-    key = bare = staticmethod(str.encode)
+    bare = staticmethod(lambda s: s)
 
-    def learn_plain(self, chunks: list[tuple[bytes, str]]) -> None:
+    def learn_plain(self, chunks: list[str]) -> None:
         mark = self.ids([SEPARATOR])[0]
-        joint = [c for c in chunks if SEPARATOR not in c[1]]
+        joint = [c for c in chunks if SEPARATOR not in c]
         if joint:
-            ids = self.ids([f" {SEPARATOR} ".join(t for _, t in joint)])[0]
+            ids = self.ids([f" {SEPARATOR} ".join(joint)])[0]
             found = ids[: len(ids) - len(mark) + 1] == mark[0]
             for i in range(1, len(mark)):
                 found = found & (ids[i : len(ids) - len(mark) + 1 + i] == mark[i])
@@ -93,36 +130,38 @@ class WordEncoder(Encoder):
             if len(starts) != len(joint):
                 raise ValueError("the separator did not stay apart")
             raw, w = ids.tobytes(), ids.itemsize
-            for (chunk, _), s, e in zip(joint, (starts * w).tolist(), (ends * w).tolist(), strict=True):
+            for chunk, s, e in zip(joint, (starts * w).tolist(), (ends * w).tolist(), strict=True):
                 self.known[chunk] = raw[s:e]
-        alone = [c for c in chunks if SEPARATOR in c[1]]
+        alone = [c for c in chunks if SEPARATOR in c]
         if alone:
-            for (chunk, _), own in zip(alone, self.ids([t for _, t in alone]), strict=True):
+            for chunk, own in zip(alone, self.ids(alone), strict=True):
                 self.known[chunk] = own.tobytes()
 
 
-def byte_chunks(text: str) -> list:
+def byte_chunks(text: str) -> list[str]:
     """A text cut where no byte-level piece crosses: before white space.
 
     A chunk is a word without the one space before it, a line end with the word
-    after it, or ``(1, s)`` for a string as it stands.
+    after it, or ``AS_IS`` and a string as it stands.
     """
     if not text:
         return []
-    if len(text.split()) == text.count(" ") + text.count("\n") + 1:  # single spaces and line ends only, between words
+    # Single spaces and line ends only, between words.
+    if len(text.split()) == text.count(" ") + text.count("\n") + 1 and AS_IS not in text:
         parts = text.replace("\n", " \n").split(" ")
         if "" not in parts and "\n" not in parts:  # other white space can make up for double spaces
-            return [(1, parts[0]), *parts[1:]]
-    return [(1, c) for c in CHUNKS.findall(text)]
+            parts[0] = AS_IS + parts[0]
+            return parts
+    return [AS_IS + c for c in CHUNKS.findall(text)]
 
 
-def chunk_text(chunk) -> str:
-    """What a chunk stands for in the text."""
-    return chunk[1] if type(chunk) is tuple else chunk if chunk[0] == "\n" else " " + chunk
+def chunk_text(chunk: str) -> str:
+    """What a chunk of a byte-level vocabulary stands for in the text."""
+    return chunk[1:] if chunk[0] == AS_IS else chunk if chunk[0] == "\n" else " " + chunk
 
 
 class ByteEncoder(Encoder):
-    """For byte-level vocabularies, where a word's first token holds the space before it."""
+    """For byte-level vocabularies, where a word's first token holds the space before it; chunks are those of ``byte_chunks``."""
 
     def __init__(self, path: str):
         super().__init__(path)
@@ -130,17 +169,23 @@ class ByteEncoder(Encoder):
         self.begins = np.zeros(max(vocab.values()) + 1, bool)
         self.begins[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
 
-    split = staticmethod(lambda text: byte_chunks(text))
-
     @staticmethod
-    def text(chunk) -> str:
-        return "" if type(chunk) is tuple else chunk
-
-    key = staticmethod(lambda s: s)
-    bare = staticmethod(lambda s: (1, s))
-
-    def learn_plain(self, chunks: list[tuple]) -> None:
-        joint = [c for c, _ in chunks if type(c) is str and c[0] != "\n"]
+    def split(texts: pa.Array) -> pa.ListArray:
+        odd = pc.match_substring_regex(texts, ODD)
+        begun = pc.binary_join_element_wise(pa.scalar(AS_IS, pa.large_string()), texts, pa.scalar("", pa.large_string()))
+        plain = pc.split_pattern(pc.replace_substring(begun, "\n", " \n"), " ")
+        if not pc.any(odd).as_py():
+            return plain
+        cut = [byte_chunks(t) for t in texts.filter(odd).to_pylist()]
+        both = pa.concat_arrays([plain.filter(pc.invert(odd)), pa.array(cut, plain.type)])
+        is_odd = odd.to_numpy(zero_copy_only=False)
+        place = np.where(is_odd, (~is_odd).sum() + np.cumsum(is_odd), np.cumsum(~is_odd)) - 1
+        return both.take(pa.array(place))
+
+    bare = staticmethod(lambda s: AS_IS + s)
+
+    def learn_plain(self, chunks: list[str]) -> None:
+        joint = [c for c in chunks if c[0] not in "\n\x1c"]
         if joint:
             ids = self.ids([" " + " ".join(joint)])[0]
             cuts = np.flatnonzero(self.begins[ids])
@@ -149,12 +194,25 @@ class ByteEncoder(Encoder):
             raw, w = ids.tobytes(), ids.itemsize
             for chunk, s, e in zip(joint, (cuts * w).tolist(), [*(cuts[1:] * w).tolist(), len(raw)], strict=True):
                 self.known[chunk] = raw[s:e]
-        alone = [c for c, _ in chunks if type(c) is tuple or c[0] == "\n"]
+        alone = [c for c in chunks if c[0] in "\n\x1c"]
         if alone:
             for chunk, own in zip(alone, self.ids([chunk_text(c) for c in alone]), strict=True):
                 self.known[chunk] = own.tobytes()
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Small batches put together until they have ``rows`` rows or ``size`` bytes, so that fewer chunks are distinct."""
+    held, n, full = [], 0, 0
+    for b in batches:
+        held.append(b)
+        n, full = n + b.num_rows, full + b.nbytes
+        if n >= rows or full >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n, full = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str, kind: str) -> Encoder:
     """One encoder per Python worker and file."""

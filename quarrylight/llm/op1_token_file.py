@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batched, columns, dropped, stored
-from .encoding import encoder
+from .encoding import encoder, gathered
 
 MAGIC = np.array([int.from_bytes(b"QLTF", "little"), 1], "<u4").tobytes()
 SEGMENT_IDS = 1 << 18
@@ -104,8 +104,8 @@ def encoded(docs: DataFrame, path: str, kind: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, kind)
         end = np.array([end_id], enc.dtype).tobytes()
-        for b in batches:
-            ids = [x + end for x in enc.encode([t or "" for t in b.column(1).to_pylist()])]
+        for b in gathered(batches):
+            ids = [x + end for x in enc.encode(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     batched(docs.sparkSession)

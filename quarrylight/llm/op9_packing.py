@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batched, columns, stored
-from .encoding import encoder
+from .encoding import encoder, gathered
 
 WINDOW = 1024
 OPEN = 64  # open windows of a partition; more hardly lower the padding
@@ -97,9 +97,8 @@ def packed(docs: DataFrame, path: str, kind: str, end_id: int, window: int, most
             return out
 
         width = enc.dtype.itemsize
-        for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for doc_id, raw in zip(b.column(0).to_pylist(), enc.encode(texts), strict=True):
+        for b in gathered(batches):
+            for doc_id, raw in zip(b.column(0).to_pylist(), enc.encode(b.column(1)), strict=True):
                 raw += end
                 total = len(raw) // width
                 for start in range(0, total, window):

@@ -16,6 +16,7 @@ from quarrylight.llm.op7_pii import find_pii
 from quarrylight.llm.op9_packing import pack
 from quarrylight.llm.op10_jaccard_join import jaccard_join
 from quarrylight.ship import ship
+from quarrylight.storage import spread
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +67,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each stored before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-").lower())
     return STAGES[-1][1](spark, docs, sf_dir)

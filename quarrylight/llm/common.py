@@ -2,21 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.storage import dropped, shared_dir, stored  # noqa: F401
+from quarrylight.storage import dropped, shared_dir, spread, stored  # noqa: F401
 
 # White space of the contracts: U+0020 and U+0009 to U+000D.
 WS = " \t\n\x0b\x0c\r"
 LAST_ID = (1 << 63) - 1  # rank of a null id: after every other id
+PIECE_ROWS, PIECE_BYTES = 256, 4 << 20  # of a batch that Python works on at once
 
 
-def batched(spark: SparkSession, rows: int = 256) -> None:
-    """Keep Arrow batches small, since one text may have many megabytes."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def pieces(batches: Iterator[pa.RecordBatch], text: int, rows: int = PIECE_ROWS, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to at most ``rows`` rows and ``size`` bytes of the text column, but for a single longer text.
+
+    Spark bounds the batches it sends by bytes (64 MB unless configured), but
+    what Python makes of a text is many times its size.  Cuts copy nothing and
+    no session setting is touched.
+    """
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < b.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+            stop = min(stop, start + rows, b.num_rows)
+            yield b.slice(start, stop - start)
+            start = stop
+
+
+def scan(spark: SparkSession, sf_dir: str, *names: str, table: str = "documents") -> DataFrame:
+    """The named columns of a table, over all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(df.select(*names) if names else df)
 
 
 def columns(df: DataFrame, **wanted: str) -> DataFrame:
@@ -58,9 +81,16 @@ def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", tex
 
 def text_of(name: str = "text") -> Column:
     """The text, a null one counted as empty."""
-    return F.coalesce(F.col(name), F.lit(""))
+    return F.coalesce(F.col(f"`{name}`"), F.lit(""))
 
 
 def squeezed(text: Column) -> Column:
     """Each run of white space replaced by one space."""
     return F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " ")
+def batched(spark: SparkSession, rows: int = 256) -> None:
+    """Keep Arrow batches small, since one text may have many megabytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+

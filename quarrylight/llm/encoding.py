@@ -1,24 +1,29 @@
 """Whole texts to token ids with the tokenizers library, a distinct chunk at a time.
 
-Both vocabularies split a text at white space before any merge, so the ids of
-a text are those of its chunks in order.  Each Python worker keeps the ids of
-chunks it has met (two generations of a bounded number) and gives the library
-only new ones, many in one string.  tests/llm compares with the library's ids of whole texts.
+Tokenizers of two known shapes (``SHAPES``) split a text at white space before
+any merge, so the ids of a text are those of its chunks in order.  Each Python
+worker keeps the ids of chunks it has met (two generations of bounded bytes)
+and gives the library only new ones, many in one string.  tests/llm compares
+with the library's ids of whole texts.  A tokenizer file of any other shape is
+given whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 from itertools import pairwise
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-GENERATION = 500_000  # chunks of one of the two generations that a worker keeps, some 100 MB each
+GENERATION = 96 << 20  # bytes of one of the two generations of chunks that a worker keeps
+ENTRY = 100  # bytes of a dictionary's entry beside its key and value
+PASS = (1024, 16 << 20)  # rows and bytes of text encoded at once, so that fewer chunks are distinct
 JOIN = 2_000  # new chunks given to the library in one string
 SEPARATOR = "\ue000"
 # A word of Latin letters with signs right after it: two pieces for either vocabulary.
@@ -30,6 +35,33 @@ AS_IS = "\x1c"  # begins a chunk that stands for the rest of its string
 ODD = r"\A\z|\A[ \n]|[ \n]\z|[ \n][ \n]|[\t\x{0b}-\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 OTHER_SPACE = r"[\t\x{0b}-\r]"
 COMBINING = r"[\x{300}-\x{37f}]"
+# What a tokenizer file must say for the chunks to be right: normalizer, pre-tokenizer, and the model's settings.
+BPE = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+SHAPES = {
+    "word": {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ]},
+        "model": BPE | {"end_of_word_suffix": "</w>"},
+    },
+    "byte": {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, "model": BPE | {"end_of_word_suffix": None}},
+}
+
+
+def shape_of(path: str) -> str:
+    """``word`` or ``byte`` if the tokenizer file is of that shape, else ``whole``."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    said = {k: said.get(k) for k in ("normalizer", "pre_tokenizer", "truncation", "padding")} | {
+        "model": {k: v for k, v in said["model"].items() if k not in ("vocab", "merges")},
+        "plain": [t for t in said.get("added_tokens", []) if not t.get("special") or t.get("normalized")],  # would be found in ordinary text
+    }
+    for kind, shape in SHAPES.items():
+        if said == shape | {"truncation": None, "padding": None, "plain": []}:
+            return kind
+    return "whole"
 
 
 class Encoder:
@@ -41,10 +73,13 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tok.no_truncation()
+        self.tok.no_padding()
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.known: dict = {"": b""}
         self.older: dict = {}
+        self.held = 0  # bytes of ``known``, about
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The library's ids of each string, without special tokens."""
@@ -66,8 +101,8 @@ class Encoder:
 
     def look_up(self, chunks: list[str]) -> list[bytes]:
         """The ids of distinct chunks.  What was met in the last generation moves to this one."""
-        if len(self.known) > GENERATION:
-            self.known, self.older = {"": b""}, self.known
+        if self.held > GENERATION:
+            self.known, self.older, self.held = {"": b""}, self.known, 0
         found = list(map(self.known.get, chunks))
         unmet = [i for i, ids in enumerate(found) if ids is None]
         new = []
@@ -81,6 +116,7 @@ class Encoder:
             self.learn(new)
         for i in unmet:
             found[i] = self.known[chunks[i]]
+            self.held += ENTRY + getsizeof(chunks[i]) + getsizeof(found[i])
         return found
 
     def learn(self, new: list[str]) -> None:
@@ -98,6 +134,7 @@ class Encoder:
             self.learn_plain(plain[i : i + JOIN])
         for chunk, a, b in pairs:
             known[chunk] = known[a] + known[b]
+        self.held += sum(ENTRY + getsizeof(k) + getsizeof(known[k]) for k in need)
 
 
 class WordEncoder(Encoder):
@@ -200,20 +237,21 @@ class ByteEncoder(Encoder):
                 self.known[chunk] = own.tobytes()
 
 
-def gathered(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """Small batches put together until they have ``rows`` rows or ``size`` bytes, so that fewer chunks are distinct."""
-    held, n, full = [], 0, 0
-    for b in batches:
-        held.append(b)
-        n, full = n + b.num_rows, full + b.nbytes
-        if n >= rows or full >= size:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, n, full = [], 0, 0
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+class WholeEncoder(Encoder):
+    """For any other tokenizer: whole texts to the library, nothing kept."""
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        plain = texts.to_pylist() if isinstance(texts, pa.Array) else texts
+        return [ids.tobytes() for ids in self.ids([t or "" for t in plain])]
+
+
+KINDS = {"word": WordEncoder, "byte": ByteEncoder, "whole": WholeEncoder}
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, kind: str) -> Encoder:
-    """One encoder per Python worker and file."""
-    return {"word": WordEncoder, "byte": ByteEncoder}[kind](path)
+def encoder(path: str, kind: str | None = None) -> Encoder:
+    """One encoder per Python worker and file; a ``kind`` that the file's shape does not allow is an error."""
+    shape = shape_of(path)
+    if kind not in (None, "whole", shape):
+        raise ValueError(f"{path} is not a tokenizer of the shape {kind!r}; leave the kind out to encode it as {shape!r}")
+    return KINDS[kind or shape](path)

@@ -9,8 +9,9 @@
 4. Reading looks up lengths of four values per control byte in a table and
    gathers bytes by offset, all in numpy.
 
-A token file is a folder of Parquet files with one row per segment (Spark's
-committer makes it safe against lost executors) and a table of ranks.
+A token file is a folder with two Parquet tables: ``segments``, a row each
+(Spark's committer makes it safe against lost executors), and ``ranks``, the id
+that each rank stands for.  The folder alone is enough to read it back.
 
 Segment: ``QLTF``, version, number of documents, number of ids (unsigned
 32-bit), ids of documents (int64), flags of null ids (packed), then two coded
@@ -19,16 +20,18 @@ streams, each with its length: ids per document, ranks.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batched, columns, dropped, stored
-from .encoding import encoder, gathered
+from quarrylight.storage import app_folder
+
+from .common import columns, dropped, pieces, scan, stored
+from .encoding import PASS, encoder
 
 MAGIC = np.array([int.from_bytes(b"QLTF", "little"), 1], "<u4").tobytes()
 SEGMENT_IDS = 1 << 18
@@ -92,35 +95,39 @@ def read_segment(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     return [None if x else i for i, x in zip(ids, null, strict=True)], counts, ranks
 
 
-@dataclass
-class TokenFile:
-    segments: DataFrame  # part, seg, start_in_part, n_ids, segment
-    id_of_rank: np.ndarray  # bounded by the vocabulary
-
-
-def encoded(docs: DataFrame, path: str, kind: str, end_id: int) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, kind: str | None, end_id: int) -> DataFrame:
     """(doc_id, ids): each whole text's ids and the end id, as little-endian bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, kind)
+        enc = encoder(tokenizer, kind)
         end = np.array([end_id], enc.dtype).tobytes()
-        for b in gathered(batches):
+        for b in pieces(batches, 1, *PASS):
             ids = [x + end for x in enc.encode(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    batched(docs.sparkSession)
     return docs.mapInArrow(run, "doc_id long, ids binary")
 
 
-def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", kind: str = "word", end_id: int = END_ID) -> TokenFile:
-    """Encode all rows and write the token file in ascending order of ids.
+def write_tokens(
+    docs: DataFrame, tokenizer: str, out: str | None = None, id_col: str = "doc_id", text_col: str = "text", kind: str | None = None, end_id: int = END_ID,
+) -> str:
+    """Encode all rows and write the token file in ascending order of ids; returns its folder.
+
+    ``out`` is a folder that driver and executors share and that does not exist
+    yet; without it the file goes to this application's own tables.  ``kind``
+    may name the tokenizer's shape (see ``encoding.SHAPES``), which the file
+    must then have.
 
     A null or empty text has only the end id.  A null id comes first; rows with
-    the same id stand next to each other.  An empty table gives no segments.
-    Other columns are ignored.
+    the same id stand next to each other, by their ids' checksum.  Ids of equal
+    frequency rank by rising id.  A segment holds whole documents and ends after
+    ``SEGMENT_IDS`` ids, so one very long text is one segment.  An empty table
+    gives no segments.  Other columns are ignored.
     """
-    dtype = encoder(path, kind).dtype
-    ids = stored(encoded(columns(docs, doc_id=id_col, text=text_col), path, kind, end_id), "token-ids")
+    spark = docs.sparkSession
+    out = out or f"{app_folder(spark)}/token-file-{uuid.uuid4().hex}"
+    dtype = encoder(tokenizer, kind).dtype
+    ids = stored(encoded(columns(docs, doc_id=id_col, text=text_col), tokenizer, kind, end_id), "token-ids")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
@@ -137,6 +144,8 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     id_of_rank = np.array([i for _, i in found], np.uint32)
     rank_of_id = np.zeros(int(id_of_rank.max()) + 1 if found else 1, np.uint32)
     rank_of_id[id_of_rank] = np.arange(len(found))
+    ranks = spark.createDataFrame([(rank, i) for rank, (_, i) in enumerate(found)], "rank long, id long")
+    ranks.coalesce(1).write.parquet(f"{out}/ranks")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -165,18 +174,19 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     order = ["doc_id", F.crc32("ids")]
     ranged = ids.repartitionByRange(*order).sortWithinPartitions(*order)
-    segments = stored(ranged.mapInArrow(write, "part int, seg int, start_in_part long, n_ids long, segment binary"), "token-file")
+    ranged.mapInArrow(write, "part int, seg int, start_in_part long, n_ids long, segment binary").write.parquet(f"{out}/segments")
     dropped(ids)
-    return TokenFile(segments, id_of_rank)
+    return out
 
 
-def read_tokens(file: TokenFile) -> DataFrame:
-    """doc_id, start, n_tokens and ids (unsigned 32-bit, little-endian) of every document in the file."""
-    seg = file.segments
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids (unsigned 32-bit, little-endian) of every document in the token file at ``path``."""
+    seg = spark.read.parquet(f"{path}/segments")
     parts = seg.groupBy("part").agg(F.sum("n_ids").alias("n"))
     # A row for each partition that wrote the file.
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    id_of_rank = file.id_of_rank
+    # A row for each id that occurs: bounded by the vocabulary.
+    id_of_rank = np.array([r.id for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,12 +204,11 @@ def read_tokens(file: TokenFile) -> DataFrame:
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
-
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    file = write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
-    return read_tokens(file).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    path = write_tokens(scan(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 ORACLE = None  # a tokenizer is not SQL: whole texts through the library in tests/llm

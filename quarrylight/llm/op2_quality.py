@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import batched, whole_row
+from .common import pieces, scan, whole_row
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -159,17 +159,16 @@ def quality(
     windows found twice.  kept: not base_failed, the words covered by repeats of
     ``min_span`` words or more are at most ``max_covered`` of all, and the
     longest repeat has at most ``max_longest`` words.  A null or empty text has
-    no words and fails.  Texts are never cut; a batch holds the whole texts of
-    at most 256 rows.  Other input columns are ignored; ``carry`` adds the
+    no words and fails.  Texts are never cut; one suffix array holds the
+    whole texts of at most 256 rows and 4 MB, or of one longer row.  Other input columns are ignored; ``carry`` adds the
     whole input row as the struct ``row_``.
     """
-    batched(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *([whole_row(docs)] if carry else []))
     schema = rows.drop("text", "row_").withColumns({name: F.lit(0).cast("long") for name, _ in FIELDS})
     schema = schema.schema if not carry else StructType([*schema.schema.fields, rows.schema["row_"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 1):
             figures = [pa.array(x) for x in measure(b.column(1).to_pylist(), min_span)]
             yield pa.RecordBatch.from_arrays([b.column(0), *figures, *([b.column(2)] if carry else [])], names=schema.names)
 
@@ -180,7 +179,7 @@ def quality(
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return quality(scan(spark, sf_dir, "doc_id", "text"))
 
 
 ORACLE = None  # suffix arrays: held against brute force in tests/llm

@@ -6,7 +6,7 @@ to the positions of its left parts.  Ranks are taken in rising order; all
 positions of a rank merge at once, and only the two touched neighbours of each
 get a new pair and a new entry in the index.
 
-A worker keeps what it has learnt of a bounded number of chunks, and a block
+A worker keeps what it has learnt of chunks up to a bound in bytes, and a block
 ends when enough new pieces have come together, so a replay's cost is shared.
 """
 
@@ -17,19 +17,22 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import batched, columns
+from .common import columns, pieces, scan
 from .encoding import byte_chunks, chunk_text
 
 NONE = np.int32(2**31 - 1)  # no merge
 BLOCK_CHUNKS = 150_000  # new chunks that end a block
-BLOCK_TEXT = 24_000_000  # characters that end it in any case
-KEPT_CHUNKS = 400_000  # chunks a worker keeps
+BLOCK_NEW = 8 << 20  # bytes of new chunks that end it, a replay's memory being some 30 times that
+BLOCK_TEXT = 24 << 20  # characters that end it in any case
+KEPT_BYTES = 160 << 20  # of chunks, their ids and decimals that a worker keeps
+ENTRY = 150  # bytes of a chunk's entries beside its own and its ids'
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -186,6 +189,7 @@ class BlockEncoder:
         self.flat = np.zeros(0, np.int32)
         self.start = np.zeros(1, np.int64)
         self.decimal: list[str] = []
+        self.held = self.fresh = 0  # bytes of all chunks with what is known of them, and of the chunks not learnt yet
 
     def places(self, text: str) -> np.ndarray:
         """The numbers of the text's chunks; new chunks get new numbers."""
@@ -193,10 +197,11 @@ class BlockEncoder:
         number = self.number
         for c in set(chunks).difference(number):  # a dict is probed, not read through
             number[c] = len(number)
+            self.fresh += getsizeof(c)
         return np.fromiter(map(number.__getitem__, chunks), np.int32, len(chunks))
 
-    def pending(self) -> int:
-        return len(self.number) - len(self.decimal)
+    def full(self) -> bool:
+        return len(self.number) - len(self.decimal) >= BLOCK_CHUNKS or self.fresh >= BLOCK_NEW + 50 * (len(self.number) - len(self.decimal))
 
     def learn(self) -> None:
         """Replay the merges over the pieces of all chunks not learnt yet."""
@@ -208,6 +213,8 @@ class BlockEncoder:
         self.flat = np.concatenate([self.flat, *each])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) for x in each], dtype=np.int64)])
         self.decimal += [",".join(map(str, x.tolist())) for x in each]
+        self.held += self.fresh + sum(map(getsizeof, self.decimal[len(self.decimal) - len(each) :])) + sum(x.nbytes for x in each) + ENTRY * len(each)
+        self.fresh = 0
 
     def ids(self, places: np.ndarray) -> np.ndarray:
         size = self.start[places + 1] - self.start[places]
@@ -225,19 +232,19 @@ def block_encoder(path: str, pattern: str) -> BlockEncoder:
 def blocks(batches: Iterator[pa.RecordBatch], enc: BlockEncoder) -> Iterator[list[tuple[int | None, np.ndarray]]]:
     """(doc_id, numbers of its chunks) of a block of texts, after its replay."""
     waiting, chars = [], 0
-    for b in batches:
+    for b in pieces(batches, 1):
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             waiting.append((doc_id, enc.places(text or "")))
             chars += len(text or "")
-        if enc.pending() >= BLOCK_CHUNKS or chars >= BLOCK_TEXT:
-            enc.learn()
-            yield waiting
-            waiting, chars = [], 0
-            if len(enc.number) > KEPT_CHUNKS:
-                enc.clear()
+            if enc.full() or chars >= BLOCK_TEXT:
+                enc.learn()
+                yield waiting
+                waiting, chars = [], 0
+                if enc.held > KEPT_BYTES:
+                    enc.clear()
     enc.learn()
     yield waiting
-    if len(enc.number) > KEPT_CHUNKS:
+    if enc.held > KEPT_BYTES:
         enc.clear()
 
 
@@ -245,6 +252,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """doc_id and ids (unsigned 32-bit, little-endian) of each whole text, without special tokens.
 
     A null or empty text has no ids.  Ids of documents may be null or repeat.
+    A very long text is a block of its own.  An empty table gives no rows.
     Other columns are ignored.
     """
 
@@ -256,7 +264,6 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 ids = [enc.ids(places).astype("<u4").tobytes() for _, places in part]
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    batched(docs.sparkSession)
     return columns(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, ids binary")
 
 
@@ -269,7 +276,6 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
             raw = [replay.decode(np.frombuffer(x or b"", "<u4")) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "decoded"])
 
-    batched(tokens.sparkSession)
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
@@ -290,14 +296,13 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 [pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.string(), pa.string()], strict=True)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             )
 
-    batched(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = scan(spark, sf_dir, "doc_id", "text")
     return digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, WS, columns, stored, text_of
+from .common import LAST_ID, WS, columns, scan, stored, text_of
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -67,7 +67,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    out = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = line_dedup(scan(spark, sf_dir, "doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 

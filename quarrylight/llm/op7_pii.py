@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import batched, whole_row
+from .common import pieces, scan, whole_row
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -156,37 +156,36 @@ def redact(text: str, spans: list) -> str:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE, carry: bool = False) -> DataFrame:
-    """One row per input row: doc_id, base counts, base_spans, spans (text form), and the redacted text.
+    """One row per input row: doc_id, base counts, n_added, base_spans, spans (text form), and the redacted text.
 
     A null or empty text has no spans and becomes empty.  Positions are code
     points, ends exclusive.  Spans of different kinds may overlap.  Other input
     columns are ignored; ``carry`` adds the whole input row as the struct ``row_``.
     """
-    batched(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *([whole_row(docs)] if carry else []))
-    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_spans", "spans", "text"]
-    fields = [StructField(n, LongType() if i < 5 else StringType()) for i, n in enumerate(names)]
+    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_added", "base_spans", "spans", "text"]
+    fields = [StructField(n, LongType() if i < 6 else StringType()) for i, n in enumerate(names)]
     schema = StructType([*fields, *([rows.schema["row_"]] if carry else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 1):
             cols: list[list] = [[] for _ in names[1:]]
             for text in b.column(1).to_pylist():
                 text = text or ""
                 base = base_spans(text)
                 every = sorted([*base, *added_spans(text, base, min_score)])
-                counts = [sum(k == i for _, k, _ in base) for i in range(4)]
+                counts = [*(sum(k == i for _, k, _ in base) for i in range(4)), len(every) - len(base)]
                 for c, v in zip(cols, [*counts, joined(base), joined(every), redact(text, every) if every else text], strict=True):
                     c.append(v)
-            made = [pa.array(c, pa.int64() if i < 4 else pa.string()) for i, c in enumerate(cols)]
+            made = [pa.array(c, pa.int64() if i < 5 else pa.string()) for i, c in enumerate(cols)]
             yield pa.RecordBatch.from_arrays([b.column(0), *made, *([b.column(2)] if carry else [])], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    out = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
+    out = find_pii(scan(spark, sf_dir, "doc_id", "text"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_added")
 
 
 ORACLE = None  # positions of several patterns with checksums: held against plain regular expressions in tests/llm

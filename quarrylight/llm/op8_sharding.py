@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import scan, stored, text_of, whole_row
 
 PRIME = (1 << 31) - 1
 ROUNDS = 6
@@ -51,24 +51,21 @@ def permute(rows: np.ndarray, n: int, seed: int = SEED) -> np.ndarray:
 
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """Add ``row_number_``, 0 to n-1 in the order of ``order``, by one range shuffle.
+    """(row, number): each row as a struct and its number, 0 to n-1 in the order of ``order``, by one range shuffle.
 
     The sorted rows are stored with their partition and place; a prefix sum
-    over one count per partition makes the places global.
+    over one count per partition makes the places global.  Input columns lie in
+    the struct, so no name of theirs can clash.
     """
-    local = F.monotonically_increasing_id()
-    kept = stored(
-        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at_", local),
-        "numbered",
-    )
-    part = F.shiftrightunsigned("at_", 33)
-    kept = kept.withColumns({"part_": part, "at_": F.col("at_").bitwiseAND(F.lit((1 << 33) - 1))})
-    counts = kept.groupBy("part_").agg(F.count("*").alias("rows_"))
+    keys = [f"key{i}" for i in range(len(order))]
+    rows = df.select(whole_row(df).alias("row"), *[F.col(f"`{c}`").alias(k) for c, k in zip(order, keys, strict=True)])
+    kept = stored(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("row", F.monotonically_increasing_id().alias("at")), "numbered")
+    part = F.shiftrightunsigned("at", 33)
+    kept = kept.select("row", part.alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    counts = kept.groupBy("part").agg(F.count("*").alias("rows"))
     # One row per partition of the range shuffle: its size is that setting's, not the data's.
-    w = Window.orderBy("part_")
-    starts = counts.select("part_", (F.sum("rows_").over(w) - F.col("rows_")).alias("start_"))
-    out = kept.join(F.broadcast(starts), "part_")
-    return out.withColumn("row_number_", F.col("start_") + F.col("at_")).drop("part_", "at_", "start_")
+    starts = counts.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("start"))
+    return kept.join(F.broadcast(starts), "part").select("row", (F.col("start") + F.col("at")).alias("number"))
 
 
 def shard(df: DataFrame, order: list[str], n_shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -76,22 +73,20 @@ def shard(df: DataFrame, order: list[str], n_shards: int = SHARDS, seed: int = S
 
     Counts of shards differ by one at most.  Rows equal on all of ``order`` are
     numbered in any order among themselves; nulls come first.  An empty table
-    stays empty.  Input columns named shard or slot are replaced; columns
-    ending in ``_`` are the operator's own and must not be in the input.
+    stays empty.  Input columns named shard or slot are replaced; all others
+    are carried along, whatever their names, and long texts stay whole.
     """
     df = df.drop("shard", "slot")
     rows = numbered(df, order)
     n = rows.count()
-    schema = df.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).schema
+    schema = rows.select("row", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).schema
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = permute(b.column("row_number_").to_numpy(zero_copy_only=False), n, seed)
-            cols = [b.column(c) for c in schema.names[:-2]]
-            cols += [pa.array((p % n_shards).astype(np.int32)), pa.array(p // n_shards)]
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+            p = permute(b.column(1).to_numpy(zero_copy_only=False), n, seed)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((p % n_shards).astype(np.int32)), pa.array(p // n_shards)], names=["row", "shard", "slot"])
 
-    return rows.mapInArrow(place, schema)
+    return rows.mapInArrow(place, schema).select("row.*", "shard", "slot")
 
 
 def write_shards(df: DataFrame, path: str, order: list[str], n_shards: int = SHARDS, seed: int = SEED) -> None:
@@ -102,7 +97,7 @@ def write_shards(df: DataFrame, path: str, order: list[str], n_shards: int = SHA
 
 def query(spark, sf_dir: str) -> DataFrame:
     text = text_of()
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+    docs = scan(spark, sf_dir, "doc_id", "text").select(
         "doc_id",
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
@@ -111,4 +106,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-ORACLE = None  # DuckDB has no crc32; tests/llm holds the query against a plain loop.
+ORACLE = None  # DuckDB has no crc32; tests/llm holds shard and slot of every row against a plain walk

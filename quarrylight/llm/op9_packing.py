@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, columns, stored
-from .encoding import encoder, gathered
+from .common import columns, pieces, scan, stored
+from .encoding import PASS, encoder
 
 WINDOW = 1024
 OPEN = 64  # open windows of a partition; more hardly lower the padding
@@ -73,7 +73,7 @@ SCHEMA = pa.schema([
 TYPES = "part int, seq long, open boolean, offset long, doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
-def packed(docs: DataFrame, path: str, kind: str, end_id: int, window: int, most: int) -> DataFrame:
+def packed(docs: DataFrame, path: str, kind: str | None, end_id: int, window: int, most: int) -> DataFrame:
     """Pieces as each partition places them; those of windows still open at its end are marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +97,7 @@ def packed(docs: DataFrame, path: str, kind: str, end_id: int, window: int, most
             return out
 
         width = enc.dtype.itemsize
-        for b in gathered(batches):
+        for b in pieces(batches, 1, *PASS):
             for doc_id, raw in zip(b.column(0).to_pylist(), enc.encode(b.column(1)), strict=True):
                 raw += end
                 total = len(raw) // width
@@ -113,7 +113,6 @@ def packed(docs: DataFrame, path: str, kind: str, end_id: int, window: int, most
         if rows:
             yield batch()
 
-    batched(docs.sparkSession)
     return docs.mapInArrow(run, TYPES)
 
 
@@ -141,13 +140,16 @@ def merged(left: DataFrame, window: int) -> DataFrame:
 
 
 def pack(
-    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", kind: str = "byte", end_id: int = END_ID, window: int = WINDOW, most: int = OPEN,
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", kind: str | None = None, end_id: int = END_ID, window: int = WINDOW, most: int = OPEN,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (unsigned 32-bit, little-endian).
 
     A null or empty text has only the end id.  Null and repeated ids are
-    carried along.  Documents are cut only where they fill a window.  An empty
-    table gives no pieces.  Other columns are ignored.
+    carried along.  Documents are cut only where they fill a window, so a very
+    long text takes whole windows and one place for its rest.  Of open windows
+    with equal room the one opened first is taken, or emitted.  An empty table
+    gives no pieces.  Other columns are ignored.  ``kind`` may name the
+    tokenizer's shape, which the file must then have.
     """
     pieces = stored(packed(columns(docs, doc_id=id_col, text=text_col), path, kind, end_id, window, most), "packed")
     wanted = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
@@ -162,7 +164,7 @@ def pack(
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    out = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+    out = pack(scan(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -1,12 +1,16 @@
 """Exact dedup by an exchange of Golomb-coded fingerprints.
 
-1. Every source partition takes 64-bit fingerprints of its normalised texts,
-   deals them to owners by their top bits, sorts each owner's share and codes
-   the gaps with a Golomb-Rice code (some 45 bits a document at 10**6 of them).
+1. Every source takes 56-bit fingerprints of its normalised texts, deals them
+   to owners by their top bits, sorts each owner's share and codes the gaps with
+   a Golomb-Rice code (some 45 bits a document at 10**6 of them).  A source is
+   as many partitions together as give a share ``SHARE`` fingerprints, so there
+   are n / SHARE messages at any size: 10**10 documents have 4,000 owners and
+   10,000 sources of 10**6 fingerprints.
 2. Each owner decodes the shares of all sources, finds the fingerprints that
    occur twice, and answers each source with one bit per hash.
-3. Sources turn the bits into ids of suspects.  Only suspects' whole texts are
-   grouped and compared byte by byte; all others are alone in their group.
+3. Sources turn the bits into suspects' fingerprints.  Only suspects' whole
+   texts are grouped and compared byte by byte, and only suspects' rows are
+   joined with their groups; all others are alone in theirs.
 
 Owners hold hashes of a fixed slice of the fingerprint space, which a group of
 copies fills with one value of its own: sources send a value once, with a mark
@@ -23,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, batched, columns, squeezed, stored, text_hash, text_of
+from .common import LAST_ID, columns, dropped, scan, squeezed, stored, text_hash, text_of
 
-OWNER_ROWS = 250_000  # fingerprints an owner should get, for the choice of their number
+OWNER_ROWS = 2_500_000  # fingerprints an owner should get at most, for the choice of their number
+SHARE = 256  # fingerprints that a source should send to an owner
 BROADCAST_ROWS = 500_000  # suspects' fingerprints (8 bytes each) that may be broadcast; beyond it they are joined by shuffle
 
 
@@ -64,8 +69,14 @@ def rice_decode(blob: bytes, top: int) -> np.ndarray:
 FP_BITS = 56
 
 
+def exchange_size(n: int, tasks: int) -> tuple[int, int]:
+    """How many owners and how many sources share n fingerprints: as many owners as tasks while the data is small."""
+    owners = max(1, -(-n // OWNER_ROWS), min(64, tasks, -(-n // (16 * SHARE))))
+    return owners, max(1, n // (SHARE * owners))
+
+
 def shares(rows: DataFrame, owners: int) -> DataFrame:
-    """(source, owner, blob, twice, fps): each source partition's coded share for each owner.
+    """(source, owner, blob, twice): each source partition's coded share for each owner.
 
     ``rows`` has fp, the fingerprint as a long below 2**56.
     """
@@ -128,11 +139,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Texts are equal when they are after each run of white space (U+0020, U+0009
     to U+000D) became one space; null counts as empty.  Of equal texts the
     smallest id stays, a null id ranking after all others.  Of repeated rows
-    with the smallest id one stays.  An empty table gives no rows.  Other input
-    columns are ignored.
+    with the smallest id one stays.  Whole texts are hashed in the JVM, however
+    long; those of suspects alone are compared.  An empty table gives no rows.
+    Other input columns are ignored.
     """
     spark = docs.sparkSession
-    batched(spark, 20_000)
     text = squeezed(text_of()).cast("binary")
     docs = columns(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     digest = F.sha2(text, 256)
@@ -140,33 +151,42 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     fp = F.shiftrightunsigned(F.xxhash64(text), 64 - FP_BITS)
     # The number of a row, fixed by storing it, tells repeated rows apart.
     rows = stored(docs.select("doc_id", fp.alias("fp"), digest.alias("sha"), text_hash(text_of()).alias("text_hash"), F.monotonically_increasing_id().alias("row")), "dedup-rows")
-    owners = max(1, -(-rows.count() // OWNER_ROWS), min(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    sent = stored(shares(rows, owners), "dedup-shares")
+    owners, sources = exchange_size(rows.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sent = stored(shares(rows.select("fp").coalesce(sources), owners), "dedup-shares")
     doubtful = stored(suspects(sent, bitmaps(sent, owners), owners), "dedup-suspects")
-    if doubtful.count() <= BROADCAST_ROWS:
+    dropped(sent)
+    few = doubtful.count() <= BROADCAST_ROWS
+    if few:
         doubtful = F.broadcast(doubtful)
+    marked = rows.join(doubtful.withColumn("suspect", F.lit(True)), "fp", "left")
+    if not few:  # one shuffle of rows without texts
+        marked = stored(marked, "dedup-marked")
+        dropped(rows)
+    suspected = marked.filter("suspect")
     # Byte verification: the smallest and the largest text of a digest are the same bytes.
     texts = docs.select(text.alias("raw")).withColumn("fp", F.shiftrightunsigned(F.xxhash64("raw"), 64 - FP_BITS))
     texts = texts.join(doubtful, "fp", "left_semi").withColumn("sha", F.sha2("raw", 256))
     checked = texts.groupBy("sha").agg(F.count("*").alias("size"), F.min("raw").alias("low"), F.max("raw").alias("high")).filter("size > 1")
     same = F.when(F.col("low") == F.col("high"), F.col("size")).otherwise(F.raise_error(F.lit("two texts share a digest")).cast("long"))
     # One row of the smallest id stays.
-    best = rows.join(doubtful, "fp", "left_semi").groupBy("sha").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("rank"), "row", "doc_id")).alias("best"))
+    best = suspected.groupBy("sha").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("rank"), "row", "doc_id")).alias("best"))
     groups = stored(checked.select("sha", same.alias("size")).join(best, "sha"), "dedup-groups")
-    out = rows.join(groups, "sha", "left")
-    alone = F.col("size").isNull()
-    return out.select(
+    # Only suspects meet the table of groups; rows of a large group are spread by adaptive execution.
+    unique = F.col("size").isNull()
+    tied = suspected.join(groups, "sha", "left").select(
         "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
+        F.when(unique, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
-        (alone | (F.col("row") == F.col("best.row"))).alias("kept"),
+        (unique | (F.col("row") == F.col("best.row"))).alias("kept"),
         F.col("sha").alias("text_sha256"),
         "text_hash",
     )
+    alone = marked.filter("suspect is null")
+    return alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"), "text_hash").unionByName(tied)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
+    return exact_dedup(scan(spark, sf_dir, "doc_id", "text")).drop("text_hash")
 
 
 ORACLE = r"""

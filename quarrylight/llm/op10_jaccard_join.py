@@ -6,12 +6,18 @@
    are compared a few MinHash values at a time and dropped as soon as the
    posterior probability of reaching the threshold is below the tolerance.
    What stays ties classes into families; only a spanning forest is written.
-3. Members of a family, with their sets, meet once.  Pairs are pruned the same
-   way and the rest verified exactly.  Each member gets its number of links
-   and one way to its component, never a row per pair.
-
-Large buckets and families are cut into blocks; every pair of blocks is a group
-of its own, so no task holds more than two blocks and no pair is left out.
+   In a large bucket every member is first compared with one leader, row by
+   row; members that stay are tied by it and need no comparison among
+   themselves.  Only the rest meets all members, in blocks, so a bucket of near
+   copies costs rows in proportion to its size.
+3. Members of a family, with their sets, meet.  Pairs are pruned the same way
+   and the rest verified exactly.  Each member gets its number of links and one
+   way to its component, never a row per pair.
+
+Families are cut into blocks, and every pair of blocks is a group of its own,
+so no task holds more than two blocks and no pair is left out.  A member is
+copied once for each block: at most ``MOST_BLOCKS`` times up to a family of
+130,000 different sets, once for 4,096 members beyond, or for 16 MB of sets.
 With 32 bands of 4 values a pair at Jaccard 0.8 shares no bucket with
 probability 5e-8; that and the tolerance are all that can lose a link.
 """
@@ -20,14 +26,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from math import comb
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, batched, columns, dropped, stored, text_hash, text_of
+from .common import LAST_ID, columns, dropped, pieces, scan, stored, text_hash, text_of
 from .components import components
 
 SHINGLE = 5
@@ -35,17 +43,21 @@ THRESHOLD = 0.8
 TOLERANCE = 1e-6
 HASHES, BANDS = 128, 32
 STEP = 16  # MinHash values compared at a time
-BUCKET_BLOCK = 512  # members of a block of a bucket
-FAMILY_BLOCK = 256  # members of a block of a family
+SMALL_BLOCK = 112  # members of a block, while there are not too many blocks
+MOST_BLOCKS = 32  # blocks up to which blocks are kept small
+LARGE_BLOCK = 4096  # members of a block at most
+BLOCK_BYTES = 16 << 20  # bytes of sets of a block, about
+TILE = 256  # members of either side of the pairs compared at once
 PAIRS = 200_000  # pairs compared at once
 CELLS = 4_000_000  # cells of a membership matrix at once
 BROADCAST_ROWS = 500_000  # text hashes (8 bytes each) that may be broadcast; beyond it they are joined by shuffle
-MAX_WORDS = 600_000  # hashes of words a worker keeps
+WORD_BYTES = 96 << 20  # of words and their hashes that a worker keeps
 
 _RNG = np.random.default_rng(20240229)
 A = (_RNG.integers(0, 1 << 31, HASHES, dtype=np.uint64) * 2 + 1).astype(np.uint32)[:, None]
 B = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)[:, None]
 _words: dict[bytes, int] = {}
+_held = 0  # bytes of it, about
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -63,12 +75,15 @@ def shingles(text: str) -> np.ndarray:
     words = text.lower().encode().split()
     if not words:
         return np.zeros(0, np.uint64)
+    global _held
     new = set(words).difference(_words)
     if new:
-        if len(_words) > MAX_WORDS:
+        if _held > WORD_BYTES:
             _words.clear()
+            _held = 0
             new = set(words)
         _words.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
+        _held += sum(map(getsizeof, new)) + 140 * len(new)
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     size = min(SHINGLE, len(h))
     n = len(h) - size + 1
@@ -137,29 +152,31 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def pairs_of(block: np.ndarray, i: int, j: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of a group: within one block, or between block i and block j."""
-    if i == j:
-        n = len(block)
-        step = max(1, PAIRS // max(n, 1))
-        for at in range(0, n, step):
-            a, b = np.meshgrid(np.arange(at, min(at + step, n)), np.arange(n), indexing="ij")
-            keep = a < b
-            yield a[keep], b[keep]
-    else:
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        step = max(1, PAIRS // max(len(right), 1))
-        for at in range(0, len(left), step):
-            a, b = np.meshgrid(left[at : at + step], right, indexing="ij")
-            yield a.ravel(), b.ravel()
-
-
-def blocked(rows: DataFrame, key: str, size: str, most: int) -> DataFrame:
-    """Give each row its block and a copy for every pair of blocks (i, j) it belongs to; one where the group is small."""
-    n = F.ceil(F.col(size) / most).cast("int")
-    rows = rows.withColumns({"blocks": n, "block": F.pmod(F.xxhash64("row"), n).cast("int")})
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("*", other)
+def tiles(left: np.ndarray, right: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of two sides, or within one, at most TILE members of either at once."""
+    for s in range(0, len(left), TILE):
+        a = left[s : s + TILE]
+        for t in range(s if right is None else 0, len(left if right is None else right), TILE):
+            x, y = np.meshgrid(a, (left if right is None else right)[t : t + TILE], indexing="ij")
+            if right is None and s == t:
+                x, y = x[np.triu_indices(len(a), 1)], y[np.triu_indices(len(a), 1)]
+            yield x.ravel(), y.ravel()
+
+
+def n_blocks(members: Column | int, shingles: Column | int = 0) -> Column:
+    """Into how many blocks a group of so many members with so many shingles is cut."""
+    n = F.lit(members) if isinstance(members, int) else members
+    size = F.lit(shingles) if isinstance(shingles, int) else shingles
+    return F.greatest(F.least(F.ceil(n / SMALL_BLOCK), F.lit(MOST_BLOCKS)), F.ceil(n / LARGE_BLOCK), F.ceil(size * 8 / BLOCK_BYTES)).cast("int")
+
+
+def block_of(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("row"), blocks).cast("int")
+
+
+def blocked(rows: DataFrame) -> DataFrame:
+    """Give each row its block of ``blocks`` and a copy for every pair of blocks (i, j) it belongs to; one where the group is small."""
+    rows = rows.select("*", block_of(F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
 
 
@@ -186,7 +203,6 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 def clustered(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
     """Rows of a group (key, i, j) next to each other in one task."""
-    batched(rows.sparkSession)
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
 
 
@@ -194,37 +210,72 @@ def signatures_of(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES)
 
 
+def forest(row: np.ndarray, kept: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """(u, v): a spanning forest of pairs of places in ``row``; a class in several buckets is one node."""
+    names, node = np.unique(row, return_inverse=True)
+    root = roots(len(names), node[np.concatenate([a for a, _ in kept])], node[np.concatenate([b for _, b in kept])])
+    at = np.flatnonzero(root != np.arange(len(names)))
+    return pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(names[root[at]])], names=["u", "v"])
+
+
 def bucket_links(members: DataFrame, least: list[int]) -> DataFrame:
-    """(u, v): a spanning forest of the pairs of each bucket that pruning leaves."""
+    """(u, v): a spanning forest of the pairs of each small bucket that pruning leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, cuts in groups(batches):
-            row, block = t.column("row").to_numpy(), t.column("block").to_numpy()
-            i, j = t.column("i").to_numpy(), t.column("j").to_numpy()
             sigs = signatures_of(t.column("sig"))
             sizes, starts = np.diff(cuts), cuts[:-1]
             kept: list[tuple[np.ndarray, np.ndarray]] = []
-            # Groups of one size in one go, as long as they are small and whole.
-            small = (sizes <= 16) & (i[starts] == j[starts])
-            for m in np.unique(sizes[small]).tolist():
+            for m in np.unique(sizes).tolist():  # buckets of one size in one go
                 x, y = np.triu_indices(m, 1)
-                own = starts[small & (sizes == m)]
+                own = starts[sizes == m]
                 step = max(1, PAIRS // max(1, len(x)))
                 for at in range(0, len(own), step):
                     s = own[at : at + step, None]
                     kept.append(prune(sigs, (s + x).ravel(), (s + y).ravel(), least))
-            for s, m in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
-                for a, b in pairs_of(block[s : s + m], int(i[s]), int(j[s])):
-                    kept.append(prune(sigs, a + s, b + s, least))
-            if not kept:
-                continue
-            # Members are rows of buckets; a class in several buckets is one node.
-            names, node = np.unique(row, return_inverse=True)
-            root = roots(len(names), node[np.concatenate([a for a, _ in kept])], node[np.concatenate([b for _, b in kept])])
-            at = np.flatnonzero(root != np.arange(len(names)))
-            yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(names[root[at]])], names=["u", "v"])
+            yield forest(t.column("row").to_numpy(), kept)
 
-    return clustered(members, run, "u long, v long")
+    zero = F.lit(0)
+    return clustered(members.select("key", zero.alias("i"), zero.alias("j"), "row", "sig"), run, "u long, v long")
+
+
+def led(large: DataFrame, least: list[int]) -> DataFrame:
+    """(key, row, sig, lead): members of large buckets that their leader does not tie, with their sig; those it ties without."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            sigs = np.concatenate([signatures_of(b.column("sig")), signatures_of(b.column("lead_sig"))])
+            tied = np.zeros(n, bool)
+            tied[prune(sigs, np.arange(n), np.arange(n) + n, least)[0]] = True
+            rest = pc.if_else(pa.array(tied), pa.scalar(None, pa.binary()), b.column("sig"))
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("row"), rest, b.column("lead")], names=["key", "row", "sig", "lead"])
+
+    rows = large.filter("row <> lead").select("key", "row", "sig", "lead", "lead_sig")
+    return rows.mapInArrow(run, "key long, row long, sig binary, lead long")
+
+
+def cross_links(rest: DataFrame, large: DataFrame, least: list[int]) -> DataFrame:
+    """(u, v): a spanning forest of what pruning leaves of the pairs of untied members with all members of their bucket."""
+    sizes = rest.groupBy("key").agg(F.count("*").alias("n_rest"))
+    left = rest.join(sizes.join(large.select("key", "size").distinct(), "key"), "key")
+    i, j = n_blocks(F.col("n_rest")), n_blocks(F.col("size"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = left.select("key", block_of(i).alias("i"), each(j).alias("j"), "row", "sig", F.lit(True).alias("untied"))
+    right = large.join(sizes, "key").select("key", each(i).alias("i"), block_of(j).alias("j"), "row", "sig", F.lit(False).alias("untied"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cuts in groups(batches):
+            row, untied = t.column("row").to_numpy(), t.column("untied").to_numpy()
+            sigs = signatures_of(t.column("sig"))
+            kept: list[tuple[np.ndarray, np.ndarray]] = []
+            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                at = np.arange(s, e)
+                kept += [prune(sigs, a, b, least) for a, b in tiles(at[untied[s:e]], at[~untied[s:e]])]
+            if kept:
+                yield forest(row, kept)
+
+    return clustered(left.unionByName(right), run, "u long, v long")
 
 
 def intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -260,14 +311,19 @@ def family_links(members: DataFrame, least: list[int], threshold: float) -> Data
                 sigs = signatures_of(g.column("sig"))
                 sets = [np.frombuffer(x, np.uint64) for x in g.column("shingles").to_pylist()]
                 sizes = np.array([len(x) for x in sets])
-                kept = [prune(sigs, a, b, least) for a, b in pairs_of(block, i, j)]
-                a, b = (np.concatenate([k[c] for k in kept]) for c in (0, 1)) if kept else (np.zeros(0, int), np.zeros(0, int))
-                if not len(a):
+                linked: list[tuple[np.ndarray, np.ndarray]] = []
+                for a, b in tiles(np.arange(len(row))) if i == j else tiles(np.flatnonzero(block == i), np.flatnonzero(block == j)):
+                    a, b = prune(sigs, a, b, least)
+                    if not len(a):
+                        continue
+                    own, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+                    common = intersections([sets[x] for x in own.tolist()], at[: len(a)], at[len(a) :])
+                    # In whole tenths of a thousand, so that a pair at the threshold is kept.
+                    ok = common * 10_000 >= round(threshold * 10_000) * (sizes[a] + sizes[b] - common)
+                    linked.append((a[ok], b[ok]))
+                if not linked:
                     continue
-                common = intersections(sets, a, b)
-                # In whole tenths of a thousand, so that a pair at the threshold is kept.
-                ok = common * 10_000 >= round(threshold * 10_000) * (sizes[a] + sizes[b] - common)
-                a, b = a[ok], b[ok]
+                a, b = (np.concatenate([x[c] for x in linked]) for c in (0, 1))
                 links = np.bincount(a, copies[b], len(row)) + np.bincount(b, copies[a], len(row))
                 root = roots(len(row), a, b)
                 at = np.flatnonzero(links)
@@ -277,38 +333,38 @@ def family_links(members: DataFrame, least: list[int], threshold: float) -> Data
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, tx, s1, s2, sig, keys): two hashes of the set, a byte of each MinHash value, a key for each band."""
+    """(row, doc_id, tx, s1, s2, n, sig, keys): two hashes of the set, its size, a byte of each MinHash value, a key for each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s1, s2, sig, keys = [], [], [], []
+        for b in pieces(batches, 3):
+            s1, s2, size, sig, keys = [], [], [], [], []
             for text in b.column(3).to_pylist():
                 s = shingles(text)
                 if not len(s):
-                    for c in (s1, s2, sig, keys):
+                    for c in (s1, s2, size, sig, keys):
                         c.append(None)
                     continue
                 low = minhash(s)
                 one, two = set_hashes(s)
                 s1.append(one)
                 s2.append(two)
+                size.append(len(s))
                 sig.append(low.astype(np.uint8).tobytes())
                 band = low.astype(np.uint64).reshape(BANDS, -1)
                 key = np.arange(1, BANDS + 1, dtype=np.uint64)
                 for c in range(band.shape[1]):
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + band[:, c])
                 keys.append(key.astype(np.int64))
-            types = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *[pa.array(c, t) for c, t in zip((s1, s2, sig, keys), types, strict=True)]], names=names)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *[pa.array(c, t) for c, t in zip((s1, s2, size, sig, keys), types, strict=True)]], names=names)
 
-    names = ["row", "doc_id", "tx", "s1", "s2", "sig", "keys"]
-    batched(docs.sparkSession)
-    return docs.mapInArrow(run, "row long, doc_id long, tx long, s1 long, s2 long, sig binary, keys array<long>")
+    names = ["row", "doc_id", "tx", "s1", "s2", "n", "sig", "keys"]
+    return docs.mapInArrow(run, "row long, doc_id long, tx long, s1 long, s2 long, n long, sig binary, keys array<long>")
 
 
 def with_shingles(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 0):
             sets = [shingles(t) for t in b.column(0).to_pylist()]
             s1, s2 = zip(*map(set_hashes, sets), strict=True) if sets else ([], [])
             yield pa.RecordBatch.from_arrays([pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["s1", "s2", "shingles"])
@@ -324,7 +380,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     number of other rows linked to this one.  One row of each class is kept,
     the first with its class_id.  Null and empty texts have no shingles: each
     is a class of its own with no links.  A null id ranks after all others.
-    Repeated rows are copies of each other.  Other columns are ignored.
+    Repeated rows are copies of each other.  Texts are read whole, however long;
+    a set has at most as many shingles as its text has words.  An empty table
+    gives no rows.  Other columns are ignored.
     """
     least = least_matches(threshold, tolerance)
     docs = columns(docs, doc_id=id_col, text=text_col)
@@ -334,25 +392,33 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = rows.filter("s1 is not null").groupBy("s1", "s2")
     classes = stored(classes.agg(F.min(F.struct(rank.alias("rank"), "row", "doc_id", "tx")).alias("best"), F.count("*").alias("copies")), "jaccard-classes")
     heads = classes.select(F.col("best.row").alias("row"), F.col("best.rank").alias("rank"), F.col("best.tx").alias("tx"), "copies")
-    sketch = stored(rows.join(heads, ["row", "tx"]).select("row", "tx", "s1", "s2", "copies", "sig", "keys"), "jaccard-heads")
+    sketch = stored(rows.join(heads, ["row", "tx"]).select("row", "tx", "s1", "s2", "n", "copies", "sig", "keys"), "jaccard-heads")
 
     keys = sketch.select("row", F.explode("keys").alias("key"))
-    shared = stored(keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "jaccard-keys")
-    members = keys.join(shared, "key").join(sketch.select("row", "sig"), "row")
-    members = blocked(members, "key", "size", BUCKET_BLOCK).select("key", "i", "j", "row", "block", "sig")
-    tied = components(bucket_links(members, least))
-    dropped(shared)
+    sigs = sketch.select("row", "sig")
+    shared = stored(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("row").alias("lead")).filter("size > 1"), "jaccard-keys")
+    many = F.col("size") > SMALL_BLOCK
+    small = keys.join(shared.filter(~many).select("key"), "key").join(sigs, "row")
+    leads = stored(shared.filter(many).join(sigs.withColumnsRenamed({"row": "lead", "sig": "lead_sig"}), "lead"), "jaccard-leads")
+    large = stored(keys.join(leads, "key").join(sigs, "row"), "jaccard-large")
+    after = stored(led(large, least), "jaccard-led")
+    untied = after.filter("sig is not null").select("key", "row", "sig")
+    by_lead = after.filter("sig is null").select(F.col("row").alias("u"), F.col("lead").alias("v"))
+    pairs = bucket_links(small, least).unionByName(by_lead).unionByName(cross_links(untied, large.select("key", "size", "row", "sig"), least))
+    tied = components(pairs)
+    dropped(shared, leads, large, after)
 
     roots_too = tied.select(F.col("root").alias("row"), "root").unionByName(tied.select(F.col("u").alias("row"), "root")).distinct()
-    sizes = roots_too.groupBy("root").agg(F.count("*").alias("size"))
-    family = stored(roots_too.join(sizes, "root").join(sketch.drop("keys"), "row").withColumnRenamed("root", "key"), "jaccard-families")
+    family = stored(roots_too.join(sketch.drop("keys"), "row").withColumnRenamed("root", "key"), "jaccard-families")
+    sizes = family.groupBy("key").agg(n_blocks(F.count("*"), F.sum("n")).alias("blocks"))
     wanted = family.select("tx").distinct()
     if family.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     # Of copies of a text one is read; texts that only share its hash have other sets and find no member.
     texts = docs.join(wanted, "tx", "left_semi").groupBy("tx", F.xxhash64(F.lit("second"), "text")).agg(F.first("text").alias("text"))
-    placed = blocked(family.join(with_shingles(texts), ["s1", "s2"]), "key", "size", FAMILY_BLOCK).select("key", "i", "j", "row", "block", "copies", "sig", "shingles")
+    placed = blocked(family.join(sizes, "key").join(with_shingles(texts), ["s1", "s2"])).select("key", "i", "j", "row", "block", "copies", "sig", "shingles")
     found = stored(family_links(placed, least, threshold), "jaccard-links")
+    dropped(family, tied)
     linked = components(found.select(F.col("row").alias("u"), F.col("root").alias("v")))
     counts = found.groupBy("row").agg(F.sum("links").alias("links"))
 
@@ -362,6 +428,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = named.join(first, "root").select("row", F.coalesce("links", F.lit(0)).alias("links"), "first")
     info = classes.select("s1", "s2", "copies", F.col("best.row").alias("row")).join(named, "row")
     info = stored(info.select("s1", "s2", "copies", "links", "first"), "jaccard-info")
+    dropped(classes, sketch, found, linked)
     out = rows.select("row", "doc_id", "tx", "s1", "s2").join(info, ["s1", "s2"], "left")
     alone = F.col("first").isNull()
     class_id = F.when(F.col("first.rank") == LAST_ID, F.lit(None)).otherwise(F.col("first.rank"))
@@ -375,7 +442,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
+    return jaccard_join(scan(spark, sf_dir, "doc_id", "text")).drop("text_hash")
 
 
 ORACLE = None  # MinHash and posterior pruning: held against all pairs in tests/llm

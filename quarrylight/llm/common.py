@@ -87,10 +87,3 @@ def text_of(name: str = "text") -> Column:
 def squeezed(text: Column) -> Column:
     """Each run of white space replaced by one space."""
     return F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " ")
-def batched(spark: SparkSession, rows: int = 256) -> None:
-    """Keep Arrow batches small, since one text may have many megabytes."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
-
-

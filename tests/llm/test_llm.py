@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarrylight.llm import (
-    encoding, op1_token_file, op2_quality, op3_language_id, op4_exact_dedup, op5_byte_bpe, op6_line_dedup, op7_pii, op8_sharding, op9_packing, op10_jaccard_join,
+    common, encoding, op1_token_file, op2_quality, op3_language_id, op4_exact_dedup, op5_byte_bpe, op6_line_dedup, op7_pii, op8_sharding, op9_packing, op10_jaccard_join,
 )
 from quarrylight.llm.components import components
 
 P = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, size long, row_ string, text_hash string"
+SF = "/root/testdata/sf0.01"
 WORD, BYTE, RANKS = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json"), P.path("byte_bpe_multi_50k.tiktoken")
 PIECES = [*"aAbé.,!?'\"*#01\n\t \x1c\x0b\x85\xa0　ßΣςİ", "́", "H̱", "’s", "'s", "日本", "😀", "  ", "\n\n", "<|endoftext|>", "the", " of", "\r\n", "aaaaaaa", "        ", ""]
 
@@ -49,7 +50,51 @@ def test_chunks_encode_like_whole_texts(path, kind):
             assert np.frombuffer(got, enc.dtype).tolist() == enc.tok.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-def test_op1(spark):
+def test_pieces_cut_by_rows_and_bytes():
+    import pyarrow as pa
+
+    texts = ["x" * n for n in (5, 0, 3, 50, 1, 1, 1)] + [None]
+    b = pa.RecordBatch.from_pydict({"i": list(range(8)), "t": pa.array(texts, pa.string())})
+    got = [x.column(0).to_pylist() for x in common.pieces([b], 1, rows=3, size=8)]
+    assert got == [[0, 1, 2], [3], [4, 5, 6], [7]]
+    assert list(common.pieces([b.slice(0, 0)], 1)) == []
+
+
+def test_tokenizers_of_other_shapes(tmp_path):
+    import json
+
+    said = json.load(open(BYTE, encoding="utf-8"))
+    said["pre_tokenizer"]["add_prefix_space"] = True
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(said))
+    assert [encoding.shape_of(p) for p in (WORD, BYTE, str(other))] == ["word", "byte", "whole"]
+    with pytest.raises(ValueError, match="shape"):
+        encoding.encoder(str(other), "byte")
+    with pytest.raises(ValueError, match="shape"):
+        encoding.encoder(WORD, "byte")
+    enc = encoding.encoder(str(other))
+    for text, got in zip(odd_texts(40), enc.encode(odd_texts(40)), strict=True):
+        assert np.frombuffer(got, enc.dtype).tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+
+
+def test_caches_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(encoding, "GENERATION", 50_000)
+    enc = encoding.ByteEncoder(BYTE)
+    for i in range(40):
+        text = " ".join(f"{i}x{k}" + "ab" * 500 for k in range(20))
+        assert np.frombuffer(enc.encode([text])[0], enc.dtype).tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+        assert len(enc.known) <= 100 and enc.held < 150_000
+    monkeypatch.setattr(op5_byte_bpe, "KEPT_BYTES", 50_000)
+    import pyarrow as pa
+
+    blocks = op5_byte_bpe.BlockEncoder(RANKS, P.PATTERN)
+    for i in range(3):
+        b = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [" ".join(f"{i}y{k}" + "ab" * 50 for k in range(400))]})
+        list(op5_byte_bpe.blocks(iter([b]), blocks))
+        assert blocks.held == 0 and not blocks.number
+
+
+def test_op1(spark, tmp_path):
     rng = random.Random(1)
     for n in (0, 1, 3, 4, 5, 999):
         v = np.array([rng.randrange(1 << rng.choice([8, 16, 24, 32])) for _ in range(n)], np.uint32)
@@ -58,12 +103,22 @@ def test_op1(spark):
     rows = HARD + list(enumerate(odd_texts(40), 100))
     enc = encoding.encoder(WORD, "word")
     wanted = [(i, [*enc.tok.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in rows]
-    got = op1_token_file.read_tokens(op1_token_file.write_tokens(docs(spark, rows), WORD)).orderBy("start").collect()
+    path = op1_token_file.write_tokens(docs(spark, rows), WORD, f"{tmp_path}/file")
+    assert path == f"{tmp_path}/file"
+    fresh = spark.newSession()  # knows the folder only
+    got = op1_token_file.read_tokens(fresh, path).orderBy("start").collect()
     assert sorted((str(r.doc_id), np.frombuffer(r.ids, "<u4").tolist()) for r in got) == sorted((str(i), x) for i, x in wanted)
     ids = [r.doc_id for r in got]
     assert ids == sorted(ids, key=lambda i: -1 if i is None else i)
     assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
-    assert op1_token_file.read_tokens(op1_token_file.write_tokens(docs(spark, []), WORD)).count() == 0
+    often = collections.Counter(x for _, own in wanted for x in own)
+    ranks = [r.id for r in fresh.read.parquet(f"{path}/ranks").orderBy("rank").collect()]
+    assert ranks == sorted(often, key=lambda x: (-often[x], x))
+    stored = collections.Counter(v for r in fresh.read.parquet(f"{path}/segments").collect() for v in op1_token_file.read_segment(bytes(r.segment))[2].tolist())
+    assert stored == {k: often[x] for k, x in enumerate(ranks)}  # what the segments hold are ranks
+    with pytest.raises(ValueError, match="not a segment"):
+        op1_token_file.read_segment(b"something else")
+    assert op1_token_file.read_tokens(spark, op1_token_file.write_tokens(docs(spark, []), WORD)).count() == 0
 
 
 def brute_quality(text, min_span=10):
@@ -122,10 +177,69 @@ def test_op3(spark):
     whole = op3_language_id.counts(text)
     raw = len(f" {text} ".encode())
     assert whole[: op3_language_id.BUCKETS].sum() == raw - 1 and whole[op3_language_id.BUCKETS :].sum() == raw - 2
+    assert op3_language_id.identify(docs(spark, []), model).count() == 0
+    # Repeated rows, one id for all, clashing columns, a very long text.
+    same = docs(spark, [(1, "les des une eau pour que"), (1, "les des une eau pour que"), (None, "und der das " * 50_000)])
+    assert sorted(r.lang_pred for r in op3_language_id.identify(same, model).collect()) == ["de", "fr", "fr"]
+    one = op3_language_id.train(df.filter("lang is not null").withColumn("id", F.lit(7)), size=60)
+    assert one is not None and one.languages == ["de", "en", "fr"]
     code = op3_language_id.codewords(12)
     assert min((code[i] != code[j]).sum() for i in range(12) for j in range(i)) >= 5
 
 
+def test_op3_decoding_by_hand(spark):
+    """Margins of each bit's classifier against every codeword, loss by loss, in plain Python."""
+    import math
+
+    rng = np.random.default_rng(3)
+    n, bits = 6, 9
+    code = rng.choice([-1.0, 1.0], (n, bits)).astype(np.float32)
+    model = op3_language_id.Model([f"l{i}" for i in range(n)], code, rng.normal(size=(4, bits)).astype(np.float32), rng.normal(size=bits).astype(np.float32), rng.random(bits).astype(np.float32) + 0.1)
+    for _ in range(200):
+        x = rng.normal(size=4).astype(np.float32)
+        margins = [sum(float(x[f]) * float(model.weights[f, k]) for f in range(4)) + float(model.bias[k]) for k in range(bits)]
+        losses = [sum(float(model.trust[k]) * math.log1p(math.exp(-float(code[i, k]) * margins[k])) for k in range(bits)) / float(model.trust.sum()) for i in range(n)]
+        weight = [math.exp(-8 * (v - min(losses))) for v in losses]
+        best, score = model.predict(x)
+        assert best == losses.index(min(losses)) and score == pytest.approx(max(weight) / sum(weight), rel=1e-3)
+
+
+def test_op3_query_holds_out(spark, tmp_path):
+    """Labels of held-out documents have no part in training, and their languages are found all the same."""
+    import os
+
+    rng = random.Random(4)
+    words = {"en": "the of and thing with that", "de": "und der das ein nicht mit"}
+    rows = [(i, " ".join(rng.choice(words[x].split()) for _ in range(30)), x, "s", 1) for i in range(200) for x in [rng.choice("en de".split())]]
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    lying = [(i, t, "xx" if held(i) else x, s, n) for i, t, x, s, n in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(lying, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op3_language_id.query(spark, str(tmp_path)).collect()}
+    assert all(got[i].held_out == held(i) for i, *_ in rows)
+    assert all(got[i].lang_pred != "xx" for i, *_ in rows)
+    assert np.mean([got[i].lang_pred == x for i, _, x, _, _ in rows if held(i)]) > 0.95
+    if os.path.isdir(SF):
+        true = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.lang and r.text and any(map(str.isalpha, r.text))}
+        out = [r for r in op3_language_id.query(spark, SF).collect() if r.held_out and r.doc_id in true]
+        assert len(out) > 100 and np.mean([r.lang_pred == true[r.doc_id] for r in out]) > 0.97
+
+
+def test_op4_exchange_size():
+    for n in (0, 1, 5000, 256_410, 10**7, 10**10):
+        owners, sources = op4_exact_dedup.exchange_size(n, 200)
+        assert n / owners <= op4_exact_dedup.OWNER_ROWS and owners * sources <= max(owners, n / op4_exact_dedup.SHARE)
+    assert op4_exact_dedup.exchange_size(10**10, 200) == (4000, 9765)
+
+
+def test_op4_beyond_the_broadcast(spark, monkeypatch):
+    rows = HARD + [(100 + i, f"copy  {i % 7}") for i in range(60)]
+    key = lambda df: sorted(map(str, df.collect()))
+    wanted = key(op4_exact_dedup.exact_dedup(docs(spark, rows)).drop("kept"))
+    monkeypatch.setattr(op4_exact_dedup, "BROADCAST_ROWS", 0)
+    assert key(op4_exact_dedup.exact_dedup(docs(spark, rows)).drop("kept")) == wanted
+
+
 def test_op4(spark):
     rng = random.Random(5)
     for n, top in ((0, 1 << 56), (1, 1 << 50), (500, 1 << 40), (500, 600)):
@@ -152,6 +266,7 @@ def test_op5(spark):
     assert sorted((str(r.doc_id), np.frombuffer(r.ids, "<u4").tolist()) for r in tokens.collect()) == sorted((str(i), lib.encode_ordinary(t or "")) for i, t in rows)
     back = op5_byte_bpe.decode(tokens, RANKS, P.PATTERN).collect()
     assert sorted((str(r.doc_id), bytes(r.decoded)) for r in back) == sorted((str(i), (t or "").encode()) for i, t in rows)
+    assert op5_byte_bpe.encode(docs(spark, []), RANKS, P.PATTERN).count() == 0 and op5_byte_bpe.digests(docs(spark, []), RANKS, P.PATTERN).count() == 0
     got = op5_byte_bpe.digests(docs(spark, [(3, "Two words")]), RANKS, P.PATTERN).first()
     ids = lib.encode_ordinary("Two words")
     assert (got.n_tokens, got.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
@@ -179,13 +294,19 @@ def test_op6(spark):
     assert op6_line_dedup.line_dedup(docs(spark, [])).count() == 0
 
 
+def passes_luhn(digits):
+    """Every second digit from the right doubled, its own digits added up."""
+    doubled = "".join(str(int(d) * (1 + k % 2)) for k, d in enumerate(digits[::-1]))
+    return sum(map(int, doubled)) % 10 == 0
+
+
 def plain_spans(text):
     out = []
     patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
     for k, p in enumerate(patterns):
         for m in re.finditer(p, text):
             d = re.sub("[^0-9]", "", m[0])
-            if (k == 1 and any(int(x) > 255 for x in m[0].split("."))) or (k == 2 and not (14 <= len(d) <= 19 and op7_pii.luhn(d))) or (k == 3 and not 10 <= len(d) <= 15):
+            if (k == 1 and any(int(x) > 255 for x in m[0].split("."))) or (k == 2 and not (14 <= len(d) <= 19 and passes_luhn(d))) or (k == 3 and not 10 <= len(d) <= 15):
                 continue
             out.append((m.start(), k, m.end()))
     return sorted(out)
@@ -209,6 +330,56 @@ def test_op7(spark):
     assert op7_pii.base_spans("a" * 300_000 + "." * 1000 + "1" * 300_000) == []  # linear on long runs
 
 
+def test_op7_query(spark, tmp_path):
+    rows = HARD + [(20, "a@b.co 10.0.0.255 10.0.0.256 4111 1111 1111 1111 +1 (212) 555-0187"), (21, "é😀 x.y@z-1.org, iban DE89370400440532013000")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    names = ["email", "ip", "card", "phone"]
+    wanted = []
+    for i, t in rows:
+        base = plain_spans(t or "")
+        text = ",".join(f"{names[k]}:{s}:{e}" for s, k, e in base)
+        wanted.append((str(i), *[sum(k == n for _, k, _ in base) for n in range(4)], hashlib.sha256(text.encode()).hexdigest()))
+    got = op7_pii.query(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got) == sorted(wanted)
+    by = {r.doc_id: r for r in got}
+    assert by[21].n_added == 1 and by[21].spans == "email:3:14,iban:21:43" and by[20].n_added == 1  # the card that digits before it hide from the base pattern
+
+
+def walked(number, n):
+    """Shard and slot of a row number: the network round by round, fed its own result until that is a row number."""
+    half, x = 1, number
+    while 4**half < n:
+        half += 1
+    while True:
+        left, right = divmod(x, 1 << half)
+        for k in op8_sharding.round_keys(op8_sharding.SEED):
+            left, right = right, left ^ (pow(right + k, 3, op8_sharding.PRIME) % (1 << half))
+        x = left * (1 << half) + right
+        if x < n:
+            return x % 24, x // 24
+
+
+def test_op8_every_row(spark, tmp_path):
+    rows = [(i, None if i % 50 == 0 else "x" * (i % 7)) for i in range(700)] + [(i, "again") for i in range(0, 700, 9)] + [(None, "none"), (None, None)]
+    docs(spark, rows).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    raw = [(t or "").encode() for _, t in rows]
+    keys = sorted((-1 if i is None else i, zlib.crc32(b), len(b) + 8) for (i, _), b in zip(rows, raw, strict=True))
+    wanted = sorted((*k, *walked(at, len(rows))) for at, k in enumerate(keys))
+    got = op8_sharding.query(spark, str(tmp_path)).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text_crc32, r["size"], r.shard, r.slot) for r in got) == wanted
+
+
+def test_op8_names_and_files(spark, tmp_path):
+    names = ["at", "part", "row", "number", "at_", "part_", "start_", "row_number_", "rows_", "shard", "slot", "key0"]
+    df = spark.createDataFrame([tuple([i] * len(names)) for i in range(50)], ", ".join(f"{n} long" for n in names))
+    got = op8_sharding.shard(df, ["row_number_"])
+    assert got.columns == [n for n in names if n not in ("shard", "slot")] + ["shard", "slot"]
+    assert sorted((r.at, r.shard, r.slot) for r in got.collect()) == sorted((i, *walked(i, 50)) for i in range(50))
+    op8_sharding.write_shards(df, f"{tmp_path}/out", ["at"], n_shards=3)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(r.at for r in back.collect()) == list(range(50)) and {r.shard: r["count"] for r in back.groupBy("shard").count().collect()} == {0: 17, 1: 17, 2: 16}
+
+
 def test_op8(spark):
     for n in (1, 2, 3, 5, 24, 1000, 4097):
         assert sorted(op8_sharding.permute(np.arange(n), n).tolist()) == list(range(n))
@@ -264,6 +435,43 @@ def check_packing(pieces, rows, enc, window=1024):
     return at
 
 
+def plainly_packed(lengths, window, most):
+    """(document, start, window, offset) by online best fit over a list of open windows in the order of opening."""
+    used, still, out, emitted = [], [], [], []
+    for d, total in enumerate(lengths):
+        for start in range(0, total, window):
+            n = min(window, total - start)
+            fits = [w for w in still if used[w] + n <= window] if n < window else []
+            if fits:
+                w = max(fits, key=lambda w: (used[w], -w))
+            else:
+                if n < window and len(still) >= most:
+                    fullest = max(still, key=lambda w: (used[w], -w))
+                    still.remove(fullest)
+                    emitted.append(fullest)
+                w = len(used)
+                used.append(0)
+                if n < window:
+                    still.append(w)
+            out.append((d, start, w, used[w]))
+            used[w] += n
+            if used[w] == window and w in still:
+                still.remove(w)
+    return sorted(out), sorted(still)
+
+
+@pytest.mark.parametrize("most", [1, 2, 7, 64])
+def test_op9_chooses_the_tightest_window(spark, most):
+    rng = random.Random(most)
+    texts = ["a " * rng.choice([3, 40, 200, 501, 700, 1023, 1024, 2600]) for _ in range(150)] + [None, ""]
+    enc = encoding.encoder(BYTE)
+    lengths = [len(enc.tok.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts]
+    rows = op9_packing.packed(common.columns(docs(spark, list(enumerate(texts))).coalesce(1), doc_id="doc_id", text="text"), BYTE, None, 0, 1024, most).collect()
+    wanted, still = plainly_packed(lengths, 1024, most)
+    assert sorted((r.doc_id, r.start, r.seq, r.offset) for r in rows) == wanted
+    assert sorted({r.seq for r in rows if r.open}) == still
+
+
 def test_op9(spark):
     enc = encoding.encoder(BYTE, "byte")
     rows = HARD + [(100 + i, " ".join(["word"] * (37 * i % 900))) for i in range(1200)]
@@ -316,8 +524,8 @@ def near_copies(n, seed=5):
 
 
 def test_op10(spark, monkeypatch):
-    monkeypatch.setattr(op10_jaccard_join, "BUCKET_BLOCK", 40)
-    monkeypatch.setattr(op10_jaccard_join, "FAMILY_BLOCK", 30)
+    monkeypatch.setattr(op10_jaccard_join, "SMALL_BLOCK", 30)
+    monkeypatch.setattr(op10_jaccard_join, "TILE", 7)
     rows = HARD + near_copies(120)
     got = op10_jaccard_join.jaccard_join(docs(spark, rows)).collect()
     wanted, classes = brute_join(rows)
@@ -326,6 +534,33 @@ def test_op10(spark, monkeypatch):
     assert op10_jaccard_join.jaccard_join(docs(spark, [])).count() == 0
 
 
+def test_op10_copies_per_member():
+    """A family's rows on the wire grow with its size up to 130,000 sets, then with its blocks of 4,096."""
+    from math import ceil
+
+    m = op10_jaccard_join
+    blocks = lambda n, shingles=0: max(min(ceil(n / m.SMALL_BLOCK), m.MOST_BLOCKS), ceil(n / m.LARGE_BLOCK), ceil(shingles * 8 / m.BLOCK_BYTES))
+    assert [blocks(n) for n in (1, 112, 113, 4000, 131_072, 10**6)] == [1, 1, 2, 32, 32, 245]
+    assert blocks(1000, 1000 * 20_000) == 10 and blocks(100, 100 * 200_000) == 10
+
+
+def test_op10_heterogeneous_buckets(spark, monkeypatch):
+    """Many sets that share a band without being similar: the leader ties few, the rest meets every member."""
+    monkeypatch.setattr(op10_jaccard_join, "SMALL_BLOCK", 8)
+    rng = random.Random(9)
+    shared = [f"s{k}" for k in range(60)]
+    rows = []
+    for i in range(60):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(rng.choice([10, 20, 40]))]
+        rows.append((i, " ".join(shared + own)))
+        if i % 3 == 0:
+            rows.append((100 + i, " ".join(shared + own[:-1] + ["x"])))
+    got = op10_jaccard_join.jaccard_join(docs(spark, rows)).collect()
+    wanted, classes = brute_join(rows)
+    assert sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in got) == wanted
+    assert sum(r.kept for r in got) == classes
+
+
 def test_op10_prunes_what_is_unlikely_only():
     least = op10_jaccard_join.least_matches()
     assert least == sorted(least) and 70 < least[-1] < 90
@@ -370,3 +605,6 @@ def test_pipeline(spark):
     pieces = stages["packing"](spark, frame, "").collect()
     check_packing(pieces, [(i, r.text) for i, r in got.items()], encoding.encoder(BYTE, "byte"))
     assert [name for name, _ in corpus_pipeline.STAGES] == list(stages) and len(stages) == 5
+    empty = docs(spark, [])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0, name

@@ -54,6 +54,16 @@ def tokens(text: Column, keep_stopwords: bool = False) -> Column:
     return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(STOPWORDS))
 
 
+def words(text: Column) -> Column:
+    """What ``tokens`` finds and the empty and short pieces beside it, to be exploded and filtered by ``is_token``."""
+    return F.split(F.lower(text), "[^a-z0-9]+")
+
+
+def is_token(word: Column) -> Column:
+    """Which exploded words count: two characters or more and no stopword."""
+    return (F.length(word) > 1) & ~word.isin(STOPWORDS)
+
+
 def category_path(entries: Column) -> Column:
     """Entries split at commas and trimmed, without empty and generic segments; null gives an empty path."""
     parts = F.transform(F.flatten(F.transform(entries, lambda e: F.split(e, ","))), lambda p: F.trim(p))
@@ -73,6 +83,11 @@ def parse_price(raw: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def searchable_text(title: Column, features: Column, details: Column, description: Column, categories: Column, store: Column) -> Column:
+    """What the evaluator searches for materials and colours: present fields in this order, unchanged, joined by spaces."""
+    return F.trim(F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in (title, features, details, description, categories, store)]))
+
+
 def document_text(*fields: Column) -> Column:
     """Fields joined by one space each; an empty field leaves its space."""
     return F.concat_ws(" ", *[F.coalesce(f, F.lit("")) for f in fields])

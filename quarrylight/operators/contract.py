@@ -43,6 +43,43 @@ def violations(message: Column, attribute: Column, ids: Column, usage: dict[str,
     return F.array_compact(F.array(*checks))
 
 
+def json_violations(raw: Column, top_k: int = TOP_K, strict: bool = False) -> Column:
+    """What is wrong with a response as JSON text, of any types, as an array of texts; empty if it is valid.
+
+    ``strict`` also refuses further keys of the response itself.
+    """
+    v = F.try_parse_json(raw)
+    part = lambda path: F.try_variant_get(v, path, "variant")
+    kind = lambda x: F.coalesce(F.schema_of_variant(x), F.lit("MISSING"))
+    text = lambda path: F.try_variant_get(v, path, "string")
+    items = F.coalesce(F.try_variant_get(v, "$.recommendations", "array<variant>"), F.array().cast("array<variant>"))
+    shown = F.slice(items, 1, top_k)
+    objects = F.filter(shown, lambda x: kind(x).startswith("OBJECT<"))
+    own_id = lambda x: F.when(kind(F.try_variant_get(x, "$.parent_asin", "variant")) == "STRING", F.try_variant_get(x, "$.parent_asin", "string"))
+    ids = F.filter(F.transform(objects, own_id), lambda x: x.isNotNull() & (x != ""))
+    more = lambda x, allowed: F.size(F.array_except(F.json_object_keys(x), F.array(*[F.lit(k) for k in allowed]))) > 0
+    ask, usage = kind(part("$.ask_attribute")), kind(part("$.usage"))
+    has_usage = ~usage.isin("MISSING", "VOID")
+    is_list = kind(part("$.recommendations")).startswith("ARRAY<")
+    checks = [
+        F.when(kind(part("$.message")) != "STRING", "message must be a string"),
+        F.when(ask == "MISSING", "ask_attribute key is required").when((ask != "VOID") & ~((ask == "STRING") & text("$.ask_attribute").isin(ATTRIBUTES)), "ask_attribute is not an allowed value"),
+        F.when(~is_list, "recommendations must be a list"),
+        F.when(F.size(items) > CAP, "recommendations exceed the cap"),
+        F.when(F.size(objects) < F.size(shown), "recommendation is not an object"),
+        F.when(F.size(ids) < F.size(objects), "recommendation has no id"),
+        F.when(F.size(ids) > F.size(F.array_distinct(ids)), "recommendation repeats an id"),
+        F.when(F.exists(objects, lambda x: more(F.to_json(x), ["parent_asin", "score"])), "recommendation has extra keys"),
+        F.when(has_usage & ~usage.startswith("OBJECT<"), "usage must be an object"),
+        *[
+            F.when(has_usage & usage.startswith("OBJECT<") & ~((kind(part(f"$.usage.{n}")) == "BIGINT") & (F.try_variant_get(v, f"$.usage.{n}", "bigint") >= 0)), f"usage.{n} must be a non-negative integer")
+            for n in ("prompt_tokens", "completion_tokens")
+        ],
+        *([F.when(more(raw, ["message", "ask_attribute", "recommendations", "usage"]), "response has extra keys")] if strict else []),
+    ]
+    return F.when(kind(v).startswith("OBJECT<"), F.array_compact(F.array(*checks))).otherwise(F.array(F.lit("response is not an object")))
+
+
 def asserted(problems: Column) -> Column:
     """Raises on the first row with a violation; null otherwise."""
     return F.when(F.size(problems) > 0, F.raise_error(F.array_join(problems, "; ")))
@@ -64,14 +101,20 @@ def coerced(message: Column, attribute: Column, ids: Column, scores: Column, usa
     }
 
 
-def build(ranked: DataFrame, message: Column, ask: Column, top_k: int = TOP_K) -> DataFrame:
-    """One response per query of ranked (query_id, id, score, rank): deduplicated, cut, in order."""
-    rows = ranked.filter("id is not null and id <> ''").groupBy("query_id", "id").agg(F.min(F.struct("rank", "score")).alias("best"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("best.rank"))
+def recommendations(ranked: DataFrame, by: list[str], top_k: int = TOP_K) -> DataFrame:
+    """(by, recommendations) of ranked (by, id, score, rank): deduplicated, cut, in order."""
+    rows = ranked.filter("id is not null and id <> ''").groupBy(*by, "id").agg(F.min(F.struct("rank", "score")).alias("best"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("best.rank"))
     rows = rows.withColumn("place", place).filter(F.col("place") <= min(top_k, CAP))
     items = F.transform(F.sort_array(F.collect_list(F.struct("place", "id", "best.score"))), lambda x: F.struct(x["id"].alias("parent_asin"), x["score"].alias("score")))
+    return rows.groupBy(*by).agg(items.alias("recommendations"))
+
+
+def build(ranked: DataFrame, message: Column, ask: Column, top_k: int = TOP_K) -> DataFrame:
+    """One response per query of ranked (query_id, id, score, rank)."""
+    rows = recommendations(ranked, ["query_id"], top_k)
     checked = F.when(ask.isNull() | ask.isin(ATTRIBUTES), ask).otherwise(F.raise_error(F.lit("ask_attribute is not an allowed value")).cast("string"))
-    return rows.groupBy("query_id").agg(items.alias("recommendations")).select("query_id", message.alias("message"), checked.alias("ask_attribute"), "recommendations", F.struct(F.lit(0).cast("long").alias("prompt_tokens"), F.lit(0).cast("long").alias("completion_tokens")).alias("usage"))
+    return rows.select("query_id", message.alias("message"), checked.alias("ask_attribute"), "recommendations", F.struct(F.lit(0).cast("long").alias("prompt_tokens"), F.lit(0).cast("long").alias("completion_tokens")).alias("usage"))
 
 
 def enrich(ranked: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -82,9 +125,11 @@ def enrich(ranked: DataFrame, catalog: DataFrame) -> DataFrame:
 def reconcile(given: DataFrame, answer: DataFrame) -> DataFrame:
     """Ids that a reranker returned, without invented ones and repeats, then those it left out in their old order.
 
-    ``given``: query_id, doc_id, position, score; ``answer``: query_id, doc_id, position.
+    ``given``: query_id, doc_id, position, score; ``answer``: query_id, doc_id,
+    position and perhaps score, which then takes the place of the old one.
     """
-    named = answer.groupBy("query_id", "doc_id").agg(F.min("position").alias("at"))
+    said = answer if "score" in answer.columns else answer.withColumn("score", F.lit(None).cast("double"))
+    named = said.groupBy("query_id", "doc_id").agg(F.min("position").alias("at"), F.min_by("score", "position").alias("new"))
     rows = given.join(named, ["query_id", "doc_id"], "left")
     order = Window.partitionBy("query_id").orderBy(F.col("at").isNull(), F.coalesce("at", "position"))
-    return rows.select("query_id", "doc_id", "score", F.row_number().over(order).alias("position"))
+    return rows.select("query_id", "doc_id", F.coalesce("new", "score").alias("score"), F.row_number().over(order).alias("position"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 THIN_LEAF = 30
@@ -36,6 +36,6 @@ def thin_leaves(docs: DataFrame, below: int = THIN_LEAF) -> DataFrame:
     return counts.agg(F.count("*").alias("n_leaves"), F.count(F.when(thin, 1)).alias("n_thin"), F.coalesce(F.sum(F.when(thin, F.col("n"))), F.lit(0)).alias("docs_affected"))
 
 
-def share_of_total(counts: DataFrame) -> DataFrame:
-    """Counts with their share of all; ``counts`` is bounded by its number of groups."""
-    return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+def department_counts(docs: DataFrame) -> DataFrame:
+    """(department, n): documents per second segment of their path; shorter paths have none."""
+    return docs.filter("size(path) > 1 and path[1] is not null").groupBy(F.get("path", F.lit(1)).alias("department")).agg(F.count("*").alias("n"))

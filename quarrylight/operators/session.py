@@ -20,10 +20,24 @@ def so_far() -> Window:
     return Window.partitionBy("session").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
 
 
+def restarted(turns: DataFrame) -> DataFrame:
+    """Turns after the last reset of their session.
+
+    A row whose ``reset`` is true starts its session anew: nothing said before
+    it counts, and it says nothing itself.  Tables without the column have no
+    resets.
+    """
+    if "reset" not in turns.columns:
+        return turns
+    last = F.max(F.when(F.col("reset"), F.col("turn"))).over(Window.partitionBy("session"))
+    rows = turns.withColumn("last_reset", last)
+    return rows.filter("last_reset is null or turn > last_reset").drop("last_reset", "reset")
+
+
 def numbered(turns: DataFrame) -> DataFrame:
-    """turn replaced by 1, 2, ... in its order."""
+    """turn replaced by 1, 2, ... in its order, since the session's last reset; a null message is empty."""
     w = Window.partitionBy("session").orderBy("turn")
-    return turns.withColumn("turn", F.row_number().over(w))
+    return restarted(turns).withColumns({"turn": F.row_number().over(w), "message": F.coalesce("message", F.lit(""))})
 
 
 def sticky_label(turns: DataFrame) -> DataFrame:
@@ -47,12 +61,14 @@ def constraints(turns: DataFrame) -> DataFrame:
     return rows.select("session", place.alias("place"), "value", "turn")
 
 
-def phrases(turns: DataFrame) -> DataFrame:
-    """(session, turn, phrase): every new candidate form, router slots first."""
-    found = T.slots(F.col("message"))
+def phrases(turns: DataFrame, router: bool = False) -> DataFrame:
+    """(session, turn, phrase): every new candidate form; with ``router`` the turn's text slots before them."""
     forms = T.candidates(T.segments(T.without_label(F.col("message"), F.col("label"))))
     empty = F.array().cast("array<string>")
-    both = F.concat(T.router_phrases(found), F.when(T.is_empty_turn(F.col("message")), empty).otherwise(forms))
+    both = F.when(T.is_empty_turn(F.col("message")), empty).otherwise(forms)
+    if router:
+        # Only brand and category reach the ranker; the tracker takes size and colour for itself.
+        both = F.concat(T.router_phrases({n: c for n, c in T.slots(F.col("message")).items() if n not in ("size", "color")}), both)
     rows = turns.select("session", "turn", F.posexplode(both).alias("pos", "phrase"))
     first = F.row_number().over(Window.partitionBy("session", "phrase").orderBy("turn", "pos"))
     return rows.withColumn("nth", first).filter("nth = 1").select("session", "turn", "phrase")
@@ -65,7 +81,11 @@ def fold(turns: DataFrame) -> DataFrame:
     one stays where it was first said.
     """
     turns = sticky_label(numbered(turns))
-    known = constraints(turns)
+    return folded(turns, constraints(turns))
+
+
+def folded(turns: DataFrame, known: DataFrame) -> DataFrame:
+    """The fold of numbered turns with their labels and their constraints."""
     new = known.groupBy("session", "turn").agg(F.count("*").alias("new"))
     words = known.select("session", "turn", F.explode(tokens(F.col("value"))).alias("word")).groupBy("session", "word").agg(F.min("turn").alias("turn"))
     words = words.groupBy("session", "turn").agg(F.count("*").alias("new_words"))
@@ -97,10 +117,10 @@ def decay(turns: DataFrame, slot_decay: float = 0.8, override_penalty: float = 0
     return rows.select("session", "place", "value", "age", revoked.alias("revoked"), F.round(decayed(F.lit(1.0), F.col("age"), revoked, slot_decay, override_penalty), 6).alias("weight"))
 
 
-def slot_state(turns: DataFrame) -> DataFrame:
+def slot_state(turns: DataFrame, number: bool = True) -> DataFrame:
     """One row per turn: the last value so far of every slot, and the categories so far in order, each once."""
     w = so_far()
-    rows = numbered(turns)
+    rows = numbered(turns) if number else turns
     found = T.slots(F.col("message"))
     rows = rows.withColumns({f"now_{n}": c for n, c in found.items()})
     state = {n: F.last(f"now_{n}", ignorenulls=True).over(w) for n in found}
@@ -116,7 +136,8 @@ def last_turns(turns: DataFrame, n: int = 4) -> DataFrame:
 
 
 def distilled(state: DataFrame) -> DataFrame:
-    """(session, turn, json): the filled slots only, as JSON."""
-    empty = F.size("categories") == 0
-    slots_ = F.struct("main_category", F.when(~empty, F.col("categories")).alias("categories"), "store", "price_max", "price_min", "min_rating", "size", "color")
+    """(session, turn, json): the filled slots only, as JSON; size and colour are details."""
+    details = F.when(F.col("size").isNotNull() | F.col("color").isNotNull(), F.struct("size", "color"))
+    filled = F.when(F.size("categories") > 0, F.col("categories"))
+    slots_ = F.struct(F.col("main_category").alias("category"), filled.alias("categories"), "store", "price_max", "price_min", "min_rating", details.alias("details"))
     return state.select("session", "turn", F.to_json(slots_).alias("json"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+import time
 from collections.abc import Callable
 from functools import wraps
 
@@ -10,9 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import turns as T
-from ..operators import category, contract, fusion, index, metrics, profile, rankers, rerank, session
+from ..operators import category, contract, dense, fusion, index, metrics, profile, rankers, rerank, session
+from ..operators.sizes import small
 from ..ship import ship
-from . import simulate
+from ..storage import stored
+from . import search, simulate
 from . import sql as S
 from .tables import documents, product_messages, products, questions, session_turns, table
 
@@ -131,18 +136,31 @@ def term_idf(spark, sf):
 # ---- rankers ----------------------------------------------------------------
 
 
-def lexical(spark, sf, pool=None, weight=None) -> DataFrame:
-    q = questions(spark, sf)
-    return rankers.bm25(rankers.query_terms(q, weight=weight), documents(spark, sf), TEXT, pool)
+class Passages:
+    """Passages as queries over documents, which are read once for all rankers."""
 
+    def __init__(self, spark, sf, weight=None):
+        asked = questions(spark, sf)
+        self.docs = documents(spark, sf)
+        self.terms = stored(rankers.query_terms(asked, weight=weight), "terms")
+        self.corpus = index.corpus(self.docs, TEXT, self.terms)
+        self.phrases = asked.select("query_id", F.col("text").alias("phrase"))
 
-def idf_of_queries(spark, sf) -> DataFrame:
-    """(term, idf) for the tokens of the queries only."""
-    docs = documents(spark, sf)
-    asked = rankers.small(rankers.query_terms(questions(spark, sf)).select("term").distinct())
-    stats = index.corpus_stats(docs.select(index.doc_length(TEXT).alias("len")))
-    post = index.postings(index.field_terms(docs, TEXT).join(asked, "term", "left_semi"))
-    return index.term_stats(post, stats).select("term", "idf")
+    def lexical(self, pool=None) -> DataFrame:
+        return rankers.bm25(self.terms, self.corpus, pool)
+
+    def evidence(self, pool=None) -> DataFrame:
+        rarity = stored(rankers.phrase_rarity(self.phrases, self.corpus.idf), "rarity")
+        return rankers.phrase_evidence(rarity, self.corpus, self.docs, pool=pool)
+
+    def affinity(self, pool) -> DataFrame:
+        text = self.docs.select("doc_id", F.lower(F.concat_ws(" ", "path")).alias("category_text"))
+        return rankers.category_affinity(self.terms, self.corpus.idf, pool.join(text, "doc_id"))
+
+    def components(self, pool) -> DataFrame:
+        """All rankers over each query's pool."""
+        rows = fusion.over_pool(pool, self.lexical(pool), "lexical").unionByName(fusion.over_pool(pool, self.evidence(pool), "phrase"))
+        return rows.unionByName(self.affinity(pool).select("query_id", F.lit("category").alias("ranker"), "doc_id", "score"))
 
 
 def top(rows: DataFrame, k: int = K) -> DataFrame:
@@ -154,20 +172,20 @@ TOP = "SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (P
 
 @query(f"WITH {S.BASE}, {S.LEXICAL} {TOP.format(rows='lexical')}")
 def bm25_topk(spark, sf):
-    return top(lexical(spark, sf))
+    return top(Passages(spark, sf).lexical())
 
 
 @query(f"WITH {S.BASE}, weighted AS (SELECT query_id, term, w * 0.8::DOUBLE ** (query_id % 3) AS w FROM qt), {S.LEXICAL.replace('FROM qt', 'FROM weighted')} {TOP.format(rows='lexical')}")
 def bm25_weighted_terms(spark, sf):
     # A term said query_id mod 3 turns ago.
     weight = rankers.decayed(F.lit(1.0), F.col("query_id") % 3, F.lit(False), slot_decay=0.8)
-    return top(lexical(spark, sf, weight=weight))
+    return top(Passages(spark, sf, weight).lexical())
 
 
 def language_pool(spark, sf) -> DataFrame:
     """Each query's pool: documents of the language that its id picks."""
     q = questions(spark, sf).select("query_id", F.element_at(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), (F.col("query_id") % 4 + 1).cast("int")).alias("lang"))
-    return documents(spark, sf).select("doc_id", "lang").join(rankers.small(q), "lang").select("query_id", "doc_id")
+    return documents(spark, sf).select("doc_id", "lang").join(small(q), "lang").select("query_id", "doc_id")
 
 
 POOL = "pool AS (SELECT item_id AS query_id, doc_id FROM benchmark JOIN documents ON lang = ['de', 'en', 'es', 'fr'][(item_id % 4 + 1)::INT])"
@@ -175,7 +193,7 @@ POOL = "pool AS (SELECT item_id AS query_id, doc_id FROM benchmark JOIN document
 
 @query(f"WITH {S.BASE}, {POOL}, {S.LEXICAL.replace('lexical AS', 'scored AS')}, pooled AS (SELECT s.* FROM scored s JOIN pool USING (query_id, doc_id)) {TOP.format(rows='pooled')}")
 def bm25_pooled(spark, sf):
-    return top(lexical(spark, sf, language_pool(spark, sf)))
+    return top(Passages(spark, sf).lexical(language_pool(spark, sf)))
 
 
 AFFINITY = f"""affinity AS (SELECT query_id, p.doc_id, round(coalesce(sum(CASE WHEN contains(lower(lang || ' ' || source), term) THEN idf END), 0), 6) AS score
@@ -184,24 +202,17 @@ AFFINITY = f"""affinity AS (SELECT query_id, p.doc_id, round(coalesce(sum(CASE W
 
 @query(f"WITH {S.BASE}, {POOL}, {AFFINITY} {TOP.format(rows='affinity')}")
 def category_affinity(spark, sf):
-    docs = documents(spark, sf)
-    pool = language_pool(spark, sf).join(docs.select("doc_id", F.lower(F.concat_ws(" ", "path")).alias("category_text")), "doc_id")
-    return top(rankers.category_affinity(rankers.query_terms(questions(spark, sf)), idf_of_queries(spark, sf), pool))
-
-
-def evidence(spark, sf, pool=None) -> DataFrame:
-    phrases = questions(spark, sf).select("query_id", F.col("text").alias("phrase"))
-    return rankers.phrase_evidence(rankers.phrase_rarity(phrases, idf_of_queries(spark, sf)), documents(spark, sf), pool=pool)
+    return top(Passages(spark, sf).affinity(language_pool(spark, sf)))
 
 
 @query(f"WITH {S.BASE}, {S.PHRASE} SELECT * FROM evidence")
 def phrase_evidence(spark, sf):
-    return evidence(spark, sf)
+    return Passages(spark, sf).evidence()
 
 
 @query(f"WITH {S.BASE}, {POOL}, {S.PHRASE} SELECT e.* FROM evidence e JOIN pool USING (query_id, doc_id)")
 def phrase_pooled(spark, sf):
-    return evidence(spark, sf, language_pool(spark, sf))
+    return Passages(spark, sf).evidence(language_pool(spark, sf))
 
 
 # ---- fusion -----------------------------------------------------------------
@@ -209,19 +220,12 @@ def phrase_pooled(spark, sf):
 
 @query(f"WITH {S.BASE}, {S.LEXICAL} SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM lexical")
 def rank_positions(spark, sf):
-    return fusion.rank_positions(lexical(spark, sf)).withColumn("rank", F.col("rank").cast("long"))
+    return fusion.rank_positions(Passages(spark, sf).lexical()).withColumn("rank", F.col("rank").cast("long"))
 
 
 def fused(spark, sf) -> DataFrame:
     """Lexical, category and phrase rankers over each query's pool, fused."""
-    pool = language_pool(spark, sf)
-    docs = documents(spark, sf)
-    category_text = docs.select("doc_id", F.lower(F.concat_ws(" ", "path")).alias("category_text"))
-    affinity = rankers.category_affinity(rankers.query_terms(questions(spark, sf)), idf_of_queries(spark, sf), pool.join(category_text, "doc_id"))
-    rows = fusion.over_pool(pool, lexical(spark, sf, pool), "lexical")
-    rows = rows.unionByName(affinity.select("query_id", F.lit("category").alias("ranker"), "doc_id", "score"))
-    rows = rows.unionByName(fusion.over_pool(pool, evidence(spark, sf, pool), "phrase"))
-    return fusion.rrf(rows)
+    return fusion.rrf(Passages(spark, sf).components(stored(language_pool(spark, sf), "pool")))
 
 
 RRF = f"""{POOL}, {S.LEXICAL}, {S.PHRASE}, {AFFINITY},
@@ -249,14 +253,16 @@ more AS (SELECT query_id, doc_id, score * 0.5::DOUBLE AS score, 1 AS tier, row_n
 both_ AS (SELECT * FROM first UNION ALL SELECT * FROM more m WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.query_id = m.query_id AND f.doc_id = m.doc_id))
 SELECT query_id, doc_id, round(score, 7) AS score, tier, row_number() OVER (PARTITION BY query_id ORDER BY tier, rank) AS position FROM both_ QUALIFY position <= 10""")
 def tiered_topup(spark, sf):
-    out = fusion.tiered(evidence(spark, sf), lexical(spark, sf), K)
+    p = Passages(spark, sf)
+    out = fusion.tiered(p.evidence(), p.lexical(), K)
     return out.select("query_id", "doc_id", F.round("score", 7).alias("score"), "tier", F.col("position").cast("long").alias("position"))
 
 
 @query(f"""WITH {S.BASE}, {S.LEXICAL}, {S.PHRASE}, total AS (SELECT query_id, doc_id, round(coalesce(l.score, 0) + 1.6::DOUBLE * coalesce(e.score, 0), 6) AS score
   FROM lexical l FULL JOIN evidence e USING (query_id, doc_id)) {TOP.format(rows='total')}""")
 def additive_score(spark, sf):
-    return top(fusion.additive(lexical(spark, sf), evidence(spark, sf)))
+    p = Passages(spark, sf)
+    return top(fusion.additive(p.lexical(), p.evidence()))
 
 
 # ---- dense ------------------------------------------------------------------
@@ -273,13 +279,22 @@ def vectors(spark, sf) -> tuple[DataFrame, DataFrame]:
 @query(f"WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, {COS} AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0) {TOP.format(rows='s')}")
 def dense_cosine_topk(spark, sf):
     q, v = vectors(spark, sf)
-    return top(rankers.dense(q.drop("label"), v.drop("label")))
+    return top(rankers.dense_topk(q, v, K))
 
 
 @query(f"WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, {COS} AS score FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 20 = 0) {TOP.format(rows='s')}")
 def dense_pooled(spark, sf):
     q, v = vectors(spark, sf)
-    return top(rankers.dense(q, v, ["label"]))
+    return top(rankers.dense_topk(q, v, K, "label"))
+
+
+@query()
+def dense_space_topk(spark, sf):
+    """Passages against documents in a space of TF-IDF axes."""
+    docs = documents(spark, sf).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    space = dense.fit(docs, dims=32)
+    asked = dense.project(questions(spark, sf).select(F.col("query_id").alias("doc_id"), "text"), space).withColumnRenamed("doc_id", "query_id")
+    return top(rankers.dense_topk(asked, dense.project(docs, space), K))
 
 
 # ---- categories -------------------------------------------------------------
@@ -342,9 +357,10 @@ def scope_ladder(spark, sf):
     asked = p.select(F.col("doc_id").alias("query_id"), label.alias("label"))
     # Queries with one label share a pool, so each label is looked up once.
     names = asked.select("label").distinct().withColumn("query_id", F.xxhash64("label"))
+    names = stored(names, "labels")
     pool = category.scope(names, category.doc_labels(p), category.doc_segments(p))
     sizes = category.pool_sizes(pool, p.count())
-    return asked.join(F.broadcast(names.withColumnRenamed("query_id", "name")), asked["label"].eqNullSafe(names["label"])).join(sizes.withColumnRenamed("query_id", "name"), "name").select("query_id", "mode", "n_primary", "n_fallback")
+    return asked.join(small(names.withColumnRenamed("query_id", "name")), asked["label"].eqNullSafe(names["label"])).join(sizes.withColumnRenamed("query_id", "name"), "name").select("query_id", "mode", "n_primary", "n_fallback")
 
 
 # ---- turns and sessions -----------------------------------------------------
@@ -478,20 +494,33 @@ def hold_flag(spark, sf):
     return rows.groupBy(F.col("turn").cast("long").alias("turn")).agg(F.count("*").alias("sessions"), F.sum(F.col("hold").cast("int")).alias("held"))
 
 
-def state_sql() -> str:
+def state_ctes() -> str:
+    """slots: the last value so far of every slot, the categories so far in order and whether a price was mentioned."""
     now = ", ".join(f"{slot_sql(n)} AS now_{n}" for n in T.SLOTS)
     last = ", ".join(f"last_value(now_{n} IGNORE NULLS) OVER w AS {n}" for n in T.SLOTS)
-    return f"WITH {S.TURNS}, now_ AS (SELECT session, turn, lower(message) AS m FROM turns), s AS (SELECT session, turn, {now} FROM now_) SELECT session, turn, {last} FROM s WINDOW w AS (PARTITION BY session ORDER BY turn)"
+    return f"""said_low AS (SELECT session, turn, lower(message) AS m FROM turns), now_slots AS (SELECT session, turn, m, {now} FROM said_low),
+kinds AS (SELECT session, now_main_category AS c, min(turn) AS since FROM now_slots WHERE now_main_category IS NOT NULL GROUP BY ALL),
+slots AS (SELECT session, turn, {last}, bool_or(contains(m, 'price')) OVER w AS price_mentioned,
+  coalesce((SELECT list(c ORDER BY since) FROM kinds k WHERE k.session = s.session AND k.since <= s.turn), []) AS categories
+  FROM now_slots s WINDOW w AS (PARTITION BY session ORDER BY turn))"""
 
 
-@query(state_sql())
+@query(f"WITH {S.TURNS}, {state_ctes()} SELECT session, turn, {', '.join(T.SLOTS)}, array_to_string(categories, ',') AS categories, price_mentioned FROM slots")
 def slot_state(spark, sf):
-    return session.slot_state(session_turns(spark, sf)).drop("categories", "price_mentioned").withColumn("turn", F.col("turn").cast("long"))
+    rows = session.slot_state(session_turns(spark, sf))
+    return rows.withColumns({"turn": F.col("turn").cast("long"), "categories": F.array_join("categories", ",")})
 
 
-@query()
+@query(f"""WITH {S.TURNS}, {state_ctes()} SELECT session, turn, main_category AS category, array_to_string(categories, ',') AS categories, store, price_max, price_min, min_rating, size, color,
+  len(list_filter([main_category, store, price_max::VARCHAR, price_min::VARCHAR, min_rating::VARCHAR, CASE WHEN len(categories) > 0 THEN 'y' END, coalesce(size, color)], lambda v: v IS NOT NULL))::INT AS n_keys FROM slots""")
 def session_memory(spark, sf):
-    return session.distilled(session.slot_state(session_turns(spark, sf)))
+    memory = session.distilled(session.slot_state(session_turns(spark, sf)))
+    shape = "category string, categories array<string>, store string, price_max double, price_min double, min_rating double, details struct<size:string,color:string>"
+    rows = memory.withColumn("m", F.from_json("json", shape))
+    return rows.select(
+        "session", F.col("turn").cast("long").alias("turn"), "m.category", F.coalesce(F.array_join("m.categories", ","), F.lit("")).alias("categories"), "m.store", "m.price_max", "m.price_min", "m.min_rating",
+        "m.details.size", "m.details.color", F.coalesce(F.size(F.json_object_keys("json")), F.lit(0)).alias("n_keys"),
+    )
 
 
 @query(f"WITH {S.TURNS} SELECT session, turn, list(message) OVER (PARTITION BY session ORDER BY turn ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS context FROM turns")
@@ -500,9 +529,105 @@ def last_turns(spark, sf):
     return session.last_turns(rows).withColumn("turn", F.col("turn").cast("long"))
 
 
-@query()
+#: Every form of every piece for phrase evidence, at its first turn.
+FORMS = f"""formed AS (SELECT session, turn, p, {BARE.format(s='p')} AS bare FROM piece),
+based AS (SELECT session, turn, p, bare, CASE WHEN bare <> '' THEN bare ELSE p END AS base FROM formed),
+form AS (SELECT session, turn, p AS phrase FROM based UNION ALL SELECT session, turn, bare FROM based WHERE bare <> p AND length(bare) >= 3
+  UNION ALL SELECT session, turn, x FROM (SELECT session, turn, trim(trim(unnest(regexp_split_to_array(base, '(?i)\\band\\b')), '.,;:!? ')) AS x FROM based WHERE regexp_matches(base, '(?i)\\band\\b')) WHERE length(x) >= 4),
+phr AS (SELECT session, phrase, min(turn) AS turn FROM form GROUP BY ALL)"""
+
+
+@query(f"WITH {FOLD}, {FORMS} SELECT session, turn, phrase FROM phr")
 def session_phrases(spark, sf):
-    return session.phrases(session.sticky_label(session.numbered(session_turns(spark, sf))))
+    out = session.phrases(session.sticky_label(session.numbered(session_turns(spark, sf))))
+    return out.withColumn("turn", F.col("turn").cast("long"))
+
+
+# ---- a session's turn -------------------------------------------------------
+
+#: Every turn ranked by what its session has said so far: scope, rankers over the pool, fusion, the gate and what is said.
+RESPOND = f"""{FOLD}, {FORMS}, {S.PRODUCTS}, {state_ctes()},
+pt AS (SELECT doc_id, unnest({S.toks("title")}) AS term, 3.0 AS w FROM prod UNION ALL SELECT doc_id, unnest({S.toks("categories")}), 2.0 FROM prod UNION ALL SELECT doc_id, unnest({S.toks("store")}), 1.5 FROM prod),
+post AS (SELECT term, doc_id, sum(w)::DOUBLE AS tf FROM pt GROUP BY ALL),
+lens AS (SELECT doc_id, coalesce(sum(tf), 0) AS len FROM prod LEFT JOIN post USING (doc_id) GROUP BY doc_id),
+stats AS (SELECT count(*)::DOUBLE AS n, avg(len) AS mean FROM lens),
+idf AS (SELECT term, ln(1 + (n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM post, stats GROUP BY term, n),
+body AS (SELECT doc_id, {S.norm("title || ' ' || categories || ' ' || store")} AS body, {S.norm("categories")} AS category_text FROM prod),
+names AS (SELECT DISTINCT label FROM labelled WHERE label IS NOT NULL),
+lt AS (SELECT DISTINCT label, unnest({S.toks("label", True)}) AS token FROM names),
+direct AS (SELECT DISTINCT token, doc_id FROM lt JOIN segs ON segment = token),
+word AS (SELECT DISTINCT token, doc_id FROM lt JOIN (SELECT doc_id, unnest(string_split(segment, ' ')) AS w FROM segs) ON w = token WHERE token NOT IN (SELECT token FROM direct)),
+hit AS (SELECT DISTINCT label, token, doc_id FROM lt JOIN (SELECT * FROM direct UNION ALL SELECT * FROM word) USING (token)),
+wide AS (SELECT label, doc_id, count(*) AS n FROM hit GROUP BY ALL),
+exact AS (SELECT label, doc_id FROM names JOIN prod USING (label)),
+merged AS (SELECT * FROM exact UNION SELECT label, doc_id FROM wide JOIN (SELECT label, count(DISTINCT token) AS k FROM hit GROUP BY label) USING (label) WHERE n = k),
+mode AS (SELECT label, (SELECT count(*) FROM exact e WHERE e.label = x.label) AS ne, (SELECT count(*) FROM merged m WHERE m.label = x.label) AS nm, (SELECT count(*) FROM wide w WHERE w.label = x.label) AS nw FROM names x),
+scope AS (SELECT label, doc_id FROM exact JOIN mode USING (label) WHERE ne >= 10 UNION ALL SELECT label, doc_id FROM merged JOIN mode USING (label) WHERE ne < 10 AND nm >= 10
+  UNION ALL SELECT label, doc_id FROM wide JOIN mode USING (label) WHERE ne < 10 AND nm < 10 UNION ALL SELECT mode.label, doc_id FROM mode, prod WHERE ne < 10 AND nm < 10 AND nw = 0),
+pool AS (SELECT session, turn, doc_id FROM labelled JOIN scope USING (label) UNION ALL SELECT session, turn, doc_id FROM labelled, prod WHERE labelled.label IS NULL),
+qt AS (SELECT session, turn, term, sum(1)::DOUBLE AS w FROM (SELECT t.session, t.turn, unnest({S.toks("value")}) AS term FROM turns t JOIN con c ON c.session = t.session AND c.turn <= t.turn
+  UNION ALL SELECT session, turn, unnest({S.toks("label")}) FROM labelled WHERE label IS NOT NULL) GROUP BY ALL),
+lexical AS (SELECT session, turn, doc_id, round(sum({S.BM25}), 6) AS score FROM qt JOIN post USING (term) JOIN idf USING (term) JOIN lens USING (doc_id) JOIN pool USING (session, turn, doc_id), stats GROUP BY ALL),
+spoken AS (SELECT DISTINCT t.session, t.turn, {S.norm("p.phrase")} AS phrase FROM turns t JOIN phr p ON p.session = t.session AND p.turn <= t.turn),
+rarity AS (SELECT session, turn, phrase, least(greatest(avg(coalesce(idf, 0)) / 10, 0.05), 1.0)::DOUBLE AS rarity
+  FROM (SELECT session, turn, phrase, unnest({S.toks("phrase")}) AS term FROM spoken WHERE length(phrase) >= 8) LEFT JOIN idf USING (term) GROUP BY ALL),
+evidence AS (SELECT session, turn, doc_id, round(sum(rarity), 6) AS score FROM rarity JOIN pool USING (session, turn) JOIN body USING (doc_id) WHERE contains(body, phrase) GROUP BY ALL),
+affinity AS (SELECT session, turn, doc_id, round(sum(idf), 6) AS score FROM pool JOIN body USING (doc_id) JOIN qt USING (session, turn) JOIN idf USING (term) WHERE contains(category_text, term) GROUP BY ALL),
+ranker_rows AS (SELECT session, turn, doc_id, 'lexical' AS ranker, 1.0::DOUBLE AS rw, coalesce(score, 0) AS score FROM pool LEFT JOIN lexical USING (session, turn, doc_id)
+  UNION ALL SELECT session, turn, doc_id, 'phrase', 1.0::DOUBLE, coalesce(score, 0) FROM pool LEFT JOIN evidence USING (session, turn, doc_id)
+  UNION ALL SELECT session, turn, doc_id, 'category', 0.4::DOUBLE, coalesce(score, 0) FROM pool LEFT JOIN affinity USING (session, turn, doc_id)),
+placed_rows AS (SELECT *, row_number() OVER (PARTITION BY session, turn, ranker ORDER BY score DESC, doc_id) AS r, max(abs(score)) OVER (PARTITION BY session, turn, ranker) AS signal FROM ranker_rows),
+total AS (SELECT session, turn, doc_id, round(sum(CASE WHEN signal > 0 THEN rw / (60::DOUBLE + r) ELSE 0 END), 12) AS score FROM placed_rows GROUP BY ALL),
+best AS (SELECT session, turn, doc_id, score, row_number() OVER (PARTITION BY session, turn ORDER BY score DESC, doc_id) AS place FROM total QUALIFY place <= 10),
+seen AS (SELECT session, word, min(turn) AS turn FROM (SELECT session, turn, unnest({S.toks('value')}) AS word FROM con) GROUP BY ALL),
+gate AS (SELECT session, turn, label, turn <= 3 AND (SELECT count(*) FROM seen w WHERE w.session = l.session AND w.turn <= l.turn) < 4 AS held FROM labelled l),
+lent AS (SELECT session, turn, held, s.size, s.color, s.store, s.price_max, s.price_mentioned, s.main_category,
+  CASE WHEN held AND s.main_category IS NULL THEN array_to_string(list_filter(string_split(label, ' '), lambda w, i: list_position(string_split(label, ' '), w) = i), ' ') END AS lends FROM gate JOIN slots s USING (session, turn)),
+about AS (SELECT *, coalesce(main_category, first_value(lends IGNORE NULLS) OVER (PARTITION BY session ORDER BY turn), 'items') AS topic,
+  list_filter([CASE WHEN size IS NULL THEN 'size' END, CASE WHEN color IS NULL THEN 'color' END, CASE WHEN store IS NULL THEN 'brand' END, CASE WHEN price_mentioned AND price_max IS NULL THEN 'price range' END], lambda v: v IS NOT NULL) AS miss FROM lent),
+reply AS (SELECT session, turn, held, CASE WHEN NOT held THEN 'Here are the closest matches I found.' WHEN len(miss) > 0 THEN 'I found many results for ' || topic || '! To help me narrow this down, could you specify your ' || array_to_string(miss[1:3], ', ') || '?'
+  ELSE 'Could you provide a bit more detail on what kind of ' || topic || ' you''re looking for?' END AS message FROM about)"""
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    """Responses with their lists of ids as text."""
+    ids = F.array_join(F.transform("recommendations", lambda r: r["parent_asin"]), ",")
+    return rows.withColumns({"turn": F.col("turn").cast("long"), "ids": ids, "prompt_tokens": F.col("usage.prompt_tokens")})
+
+
+@query(f"""WITH {RESPOND} SELECT r.session, r.turn, message, 'other' AS ask_attribute, held,
+  coalesce((SELECT string_agg(doc_id::VARCHAR, ',' ORDER BY place) FROM best b WHERE b.session = r.session AND b.turn = r.turn AND NOT r.held), '') AS ids, 0::BIGINT AS prompt_tokens FROM reply r""")
+def respond_turns(spark, sf):
+    idx = search.build_index(products(spark, sf), search.Config())
+    return shown(search.respond(session_turns(spark, sf), idx)).select("session", "turn", "message", "ask_attribute", "held", "ids", "prompt_tokens")
+
+
+@query(f"""WITH {RESPOND} SELECT r.session, r.turn, held, CASE WHEN held THEN 'held' ELSE 'llm_ok' END AS status,
+  coalesce((SELECT string_agg(doc_id::VARCHAR, ',' ORDER BY place DESC) FROM best b WHERE b.session = r.session AND b.turn = r.turn AND NOT r.held), '') AS ids,
+  CASE WHEN held THEN 0 ELSE 120 END::BIGINT AS prompt_tokens FROM reply r""")
+def respond_reranked(spark, sf):
+    """The same turns in the order of a stand-in for a model that turns every list around."""
+    idx = search.build_index(products(spark, sf), search.Config())
+    out = search.respond(session_turns(spark, sf), idx, call=rerank.stub("reverse"), use_model=True)
+    return shown(out).select("session", "turn", "held", "status", "ids", "prompt_tokens")
+
+
+@query(f"""WITH {RESPOND} SELECT r.session, r.turn, CASE WHEN (r.session + r.turn) % 3 = 0 THEN 'Better.' ELSE message END AS message,
+  CASE (r.session + r.turn) % 3 WHEN 1 THEN 'enhance: ValueError: no answer' WHEN 2 THEN 'enhance contract: message must be a string' END AS failure FROM reply r""")
+def respond_resilient(spark, sf):
+    """Responses through a plug-in that betters a third of them, fails on a third and breaks the contract on a third."""
+    idx = search.build_index(products(spark, sf), search.Config())
+    out = search.resilient(search.respond(session_turns(spark, sf), idx), third_time_lucky)
+    return out.select("session", F.col("turn").cast("long").alias("turn"), "message", "failure")
+
+
+def third_time_lucky(prompt: str) -> dict:
+    """A plug-in for the query above."""
+    said = json.loads(prompt)
+    kind = (said["session"] + said["turn"]) % 3
+    if kind == 1:
+        raise ValueError("no answer")
+    return said["response"] | {"message": "Better." if kind == 0 else 42}
 
 
 # ---- contract ---------------------------------------------------------------
@@ -555,14 +680,14 @@ def contract_coerce(spark, sf):
 
 @query(f"WITH {S.BASE}, {S.LEXICAL}, t AS ({TOP.format(rows='lexical')}) SELECT query_id, 'Here you are.' AS message, 'other' AS ask_attribute, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS ids, 0::BIGINT AS prompt_tokens FROM t GROUP BY query_id")
 def response_build(spark, sf):
-    ranked = top(lexical(spark, sf)).withColumn("id", F.col("doc_id").cast("string"))
+    ranked = top(Passages(spark, sf).lexical()).withColumn("id", F.col("doc_id").cast("string"))
     out = contract.build(ranked, F.lit("Here you are."), F.lit("other"))
     return out.select("query_id", "message", "ask_attribute", F.array_join(F.transform("recommendations", lambda r: r["parent_asin"]), ",").alias("ids"), F.col("usage.prompt_tokens").alias("prompt_tokens"))
 
 
 @query(f"WITH {S.BASE}, {S.LEXICAL}, t AS ({TOP.format(rows='lexical')}) SELECT query_id, t.doc_id, rank, lang, source, quality::DOUBLE AS quality FROM t LEFT JOIN documents USING (doc_id) LEFT JOIN labels USING (doc_id)")
 def enrich_left_join(spark, sf):
-    ranked = top(lexical(spark, sf)).drop("score")
+    ranked = top(Passages(spark, sf).lexical()).drop("score")
     meta = documents(spark, sf).select("doc_id", "lang", "source")
     return contract.enrich(contract.enrich(ranked, meta), table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("quality")))
 
@@ -570,7 +695,7 @@ def enrich_left_join(spark, sf):
 @query(f"""WITH {S.BASE}, {S.LEXICAL}, t AS ({TOP.format(rows='lexical')}), a AS (SELECT query_id, doc_id, 100 - rank AS back FROM t WHERE doc_id % 3 <> 0)
 SELECT query_id, t.doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY back IS NULL, coalesce(back, rank)) AS position FROM t LEFT JOIN a USING (query_id, doc_id)""")
 def rerank_reconcile(spark, sf):
-    given = top(lexical(spark, sf)).withColumnRenamed("rank", "position")
+    given = stored(top(Passages(spark, sf).lexical()).withColumnRenamed("rank", "position"), "given")
     # An answer in reverse order that leaves out every third id and invents one.
     said = given.filter("doc_id % 3 <> 0").select("query_id", "doc_id", (100 - F.col("position")).alias("position"))
     invented = given.select("query_id", F.lit(-1).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("position")).distinct()
@@ -580,17 +705,55 @@ def rerank_reconcile(spark, sf):
 
 @query(f"WITH {S.BASE}, {S.LEXICAL}, t AS ({TOP.format(rows='lexical')}) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) AS position FROM t")
 def rerank_plugin(spark, sf):
-    given = top(lexical(spark, sf)).withColumnRenamed("rank", "position")
+    given = stored(top(Passages(spark, sf).lexical()).withColumnRenamed("rank", "position"), "given")
     items = F.transform(F.sort_array(F.collect_list(F.struct("position", "doc_id"))), lambda x: F.struct(x["doc_id"].alias("doc_id")))
     asked = given.groupBy("query_id").agg(rerank.prompts(F.lit("{}"), F.array(F.lit("")), items).alias("prompt"))
     out = rerank.rerank(given, rerank.answers(asked, rerank.stub("reverse")))
     return out.withColumn("position", F.col("position").cast("long"))
 
 
-@query("SELECT 'no_key' AS status, count(*) AS n FROM benchmark")
+@query("""SELECT CASE WHEN item_id % 40 = 0 THEN 'timed_out' WHEN item_id % 5 = 1 THEN 'failed' WHEN item_id % 5 = 2 THEN 'no_key' ELSE 'llm_ok' END AS status, count(*) AS n FROM benchmark GROUP BY 1""")
 def rerank_counters(spark, sf):
-    asked = questions(spark, sf).select("query_id", F.lit("{}").alias("prompt"))
-    return rerank.counters(rerank.answers(asked, None))
+    """Every status: some calls hang, some fail, some have no key; hung calls cost only themselves."""
+    asked = questions(spark, sf).select("query_id", F.to_json(F.struct(F.col("query_id").alias("q"))).alias("prompt"))
+    keyless = (F.col("query_id") % 5 == 2) & (F.col("query_id") % 40 != 0)
+    got = rerank.answers(asked.filter(~keyless), moody, deadline=1.0).unionByName(rerank.answers(asked.filter(keyless), None))
+    return rerank.counters(got)
+
+
+def moody(prompt: str) -> list[int]:
+    """A plug-in for the query above."""
+    q = json.loads(prompt)["q"]
+    if q % 40 == 0:
+        time.sleep(30)
+    if q % 5 == 1:
+        raise ValueError("no answer")
+    return [q]
+
+
+RAW_KINDS = """['{"message": "hi", "ask_attribute": null, "recommendations": [{"parent_asin": "A", "score": 1.5}, {"parent_asin": "B"}]}',
+  '{"message": 42, "ask_attribute": "mood", "recommendations": "nope"}', '{"message": "hi", "recommendations": [{"parent_asin": "A", "rank": 1}, {"parent_asin": "A"}, 7, {"parent_asin": ""}]}',
+  '{"message": "hi", "ask_attribute": "size", "recommendations": [], "usage": {"prompt_tokens": -1, "completion_tokens": 2.5}}', '{"message": null, "ask_attribute": 3, "usage": 5, "recommendations": [null]}', '[1]', 'no JSON']"""
+
+
+@query(f"""WITH r AS (SELECT DISTINCT conv_id AS query_id, {RAW_KINDS}[(conv_id % 7 + 1)::INT] AS raw FROM conversations),
+j AS (SELECT query_id, CASE WHEN json_valid(raw) THEN raw::JSON END AS j FROM r),
+k AS (SELECT query_id, j, coalesce(json_type(j), '') = 'OBJECT' AS is_object, coalesce(json_type(j, '$.message'), '') AS m, json_type(j, '$.ask_attribute') AS a, j ->> '$.ask_attribute' AS ask,
+  coalesce(json_type(j, '$.recommendations'), '') = 'ARRAY' AS is_list, CASE WHEN json_type(j, '$.recommendations') = 'ARRAY' THEN json_extract(j, '$.recommendations[*]') ELSE [] END AS items,
+  coalesce(json_type(j, '$.usage'), 'NULL') AS u, json_type(j, '$.usage.prompt_tokens') AS pt, json_type(j, '$.usage.completion_tokens') AS ct FROM j),
+o AS (SELECT *, list_filter(items, lambda x: json_type(x) = 'OBJECT') AS objects FROM k),
+i AS (SELECT *, list_filter(list_transform(objects, lambda x: CASE WHEN json_type(x, '$.parent_asin') = 'VARCHAR' THEN x ->> '$.parent_asin' END), lambda x: x <> '') AS ids FROM o)
+SELECT query_id, CASE WHEN NOT is_object THEN ['response is not an object'] ELSE list_filter([CASE WHEN m <> 'VARCHAR' THEN 'message must be a string' END,
+  CASE WHEN a IS NULL THEN 'ask_attribute key is required' WHEN a <> 'NULL' AND NOT (a = 'VARCHAR' AND ask IN ({S.strings(contract.ATTRIBUTES)})) THEN 'ask_attribute is not an allowed value' END,
+  CASE WHEN NOT is_list THEN 'recommendations must be a list' END, CASE WHEN len(objects) < len(items) THEN 'recommendation is not an object' END, CASE WHEN len(ids) < len(objects) THEN 'recommendation has no id' END,
+  CASE WHEN len(list_distinct(ids)) < len(ids) THEN 'recommendation repeats an id' END, CASE WHEN len(list_filter(objects, lambda x: len(list_filter(json_keys(x), lambda n: n NOT IN ('parent_asin', 'score'))) > 0)) > 0 THEN 'recommendation has extra keys' END,
+  CASE WHEN u NOT IN ('NULL', 'OBJECT') THEN 'usage must be an object' END, CASE WHEN u = 'OBJECT' AND NOT (coalesce(pt, '') IN ('BIGINT', 'UBIGINT') AND (j ->> '$.usage.prompt_tokens')::DOUBLE >= 0) THEN 'usage.prompt_tokens must be a non-negative integer' END,
+  CASE WHEN u = 'OBJECT' AND NOT (coalesce(ct, '') IN ('BIGINT', 'UBIGINT') AND (j ->> '$.usage.completion_tokens')::DOUBLE >= 0) THEN 'usage.completion_tokens must be a non-negative integer' END], lambda x: x IS NOT NULL) END AS problems FROM i""")
+def contract_json(spark, sf):
+    """Responses as JSON text, of wrong types, with missing and extra keys."""
+    kinds = F.array(*[F.lit(k) for k in re.findall(r"'([^']*)'", RAW_KINDS)])
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("query_id")).distinct()
+    return rows.select("query_id", contract.json_violations(F.element_at(kinds, (F.col("query_id") % 7 + 1).cast("int"))).alias("problems"))
 
 
 @query("SELECT kind, count(*) AS n FROM (SELECT unnest(CASE WHEN conv_id % 2 = 0 THEN ['timeout', 'contract'] ELSE ['error'] END) AS kind FROM conversations) GROUP BY kind")
@@ -610,10 +773,9 @@ SUMMARY = "count(*) AS count, round(avg(hit::INT::DOUBLE), 6) AS hit_rate, round
 
 
 def session_outcomes(spark, sf) -> DataFrame:
-    q = questions(spark, sf)
-    found = evidence(spark, sf).select("query_id", "doc_id")
-    truth = q.select("query_id").join(found, "query_id", "left")
-    rows = metrics.outcomes(top(lexical(spark, sf)), truth)
+    q, p = questions(spark, sf), Passages(spark, sf)
+    truth = q.select("query_id").join(p.evidence().select("query_id", "doc_id"), "query_id", "left")
+    rows = metrics.outcomes(top(p.lexical()), truth)
     tenth = F.col("query_id") % 10
     scenario = F.when(tenth < 4, "buying").when(tenth < 8, "browsing").when(tenth < 9, "intent_override").otherwise("boundary")
     return rows.withColumns({"scenario_type": scenario, "first_hit_turn": F.when(F.col("hit"), 1 + tenth)})
@@ -646,17 +808,31 @@ def stratified_split(spark, sf):
     return metrics.stratified_split(e)
 
 
-GRID = "g AS (SELECT fold, d || '/' || p || '/' || w || '/' || h AS config, round(((fold * 37 + d * 11 + p * 7 + w * 5 + h * 3) % 17) / 17::DOUBLE, 6) AS score FROM range(2) f(fold), range(3) d(d), range(3) p(p), range(3) w(w), range(2) h(h))"
+WEIGHT_GRID = [(p, c) for p in (0.4, 1.0, 2.0) for c in (0.2, 0.4, 0.7)]
+GRID = ", ".join(f"('phrase={p} category={c}', {p}::DOUBLE, {c}::DOUBLE)" for p, c in WEIGHT_GRID)
 
 
-@query(f"WITH {GRID}, r AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY score DESC, config) AS rank FROM g) SELECT fold, arg_min(config, rank) AS best_config, max(score) AS best, min(score) AS worst, round(max(score) - min(score), 6) AS spread, min(CASE WHEN config = '1/1/1/0' THEN rank END) AS shipped_rank FROM r GROUP BY fold")
+@query(f"""WITH {S.BASE}, {RRF}, g(config, pw, cw) AS (VALUES {GRID}),
+f AS (SELECT config, query_id, doc_id, round(sum(CASE WHEN signal > 0 THEN CASE ranker WHEN 'phrase' THEN pw WHEN 'category' THEN cw ELSE 1.0::DOUBLE END / (60::DOUBLE + r) ELSE 0 END), 12) AS score FROM ranked, g GROUP BY ALL),
+t AS (SELECT config, query_id, doc_id, row_number() OVER (PARTITION BY config, query_id ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 10),
+h AS (SELECT config, query_id, min(rank) AS best FROM t SEMI JOIN (SELECT query_id, doc_id FROM evidence) USING (query_id, doc_id) GROUP BY ALL),
+m AS (SELECT item_id % 2 AS fold, g.config AS config, round(avg(coalesce(1 / best::DOUBLE, 0)), 6) AS score FROM benchmark CROSS JOIN g LEFT JOIN h ON h.query_id = item_id AND h.config = g.config GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY score DESC, config) AS rank FROM m)
+SELECT fold, arg_min(config, rank) AS best_config, max(score) AS best, min(score) AS worst, round(max(score) - min(score), 6) AS spread, min(CASE WHEN config = 'phrase=1.0 category=0.4' THEN rank END) AS shipped_rank FROM r GROUP BY fold""")
 def grid_summary(spark, sf):
-    # The grid of 54 configurations in two folds, with a made-up score.
-    axis = lambda n, name: spark.range(n).withColumnRenamed("id", name)
-    g = axis(2, "fold").crossJoin(axis(3, "d")).crossJoin(axis(3, "p")).crossJoin(axis(3, "w")).crossJoin(axis(2, "h"))
-    config = F.concat_ws("/", *[F.col(c).cast("string") for c in "dpwh"])
-    score = F.round(F.pmod(F.col("fold") * 37 + F.col("d") * 11 + F.col("p") * 7 + F.col("w") * 5 + F.col("h") * 3, F.lit(17)) / 17, 6)
-    return metrics.grid_summary(g.select("fold", config.alias("config"), score.alias("score")), F.col("config") == "1/1/1/0")
+    """Mean reciprocal rank of passages in two folds for nine pairs of fusion weights, from one ranking."""
+    p = Passages(spark, sf)
+    pool = stored(language_pool(spark, sf), "pool")
+    ranked = fusion.ranks(p.components(pool))
+    grid = F.broadcast(spark.createDataFrame([(f"phrase={a} category={b}", a, b) for a, b in WEIGHT_GRID], "config string, pw double, cw double"))  # nine rows
+    weight = F.when(F.col("ranker") == "phrase", F.col("pw")).when(F.col("ranker") == "category", F.col("cw")).otherwise(1.0)
+    tops = fusion.top_k(fusion.fused(ranked.crossJoin(grid), weight, by=["config"]), K, ["config"])
+    truth = p.evidence(pool).select("query_id", "doc_id")
+    best = tops.join(truth, ["query_id", "doc_id"], "left_semi").groupBy("config", "query_id").agg(F.min("rank").alias("best"))
+    every = questions(spark, sf).select("query_id").crossJoin(grid.select("config"))
+    score = F.round(F.avg(F.coalesce(1 / F.col("best"), F.lit(0.0))), 6)
+    runs = every.join(best, ["config", "query_id"], "left").groupBy((F.col("query_id") % 2).alias("fold"), "config").agg(score.alias("score"))
+    return metrics.grid_summary(runs, F.col("config") == "phrase=1.0 category=0.4")
 
 
 # ---- simulator --------------------------------------------------------------
@@ -711,6 +887,22 @@ def evaluate_loop(spark, sf):
     return simulate.evaluate(samples(spark, sf), p, c)
 
 
+@query()
+def holdout_grid(spark, sf):
+    """All 54 points of the grid on both halves of the samples, through the whole search."""
+    p, c = cards(spark, sf)
+    return simulate.holdout(samples(spark, sf), p, c)
+
+
+@query()
+def integrated_runs(spark, sf):
+    """The evaluation with the gate off, as shipped, asking for missing slots, and with stand-ins for a model."""
+    p, c = cards(spark, sf)
+    on = search.Config()
+    runs = {"gate off": (search.Config(hold=False), None), "shipped": (on, None), "clarify": (search.Config(clarify=True), None), **{m: (on, rerank.stub(m)) for m in ("identity", "reverse", "shuffle")}}
+    return simulate.integrated(samples(spark, sf), p, c, runs)
+
+
 # ---- profiling --------------------------------------------------------------
 
 
@@ -730,6 +922,11 @@ def leaf_counts(spark, sf):
     return profile.leaf_counts(products(spark, sf))
 
 
+@query("SELECT source AS department, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1")
+def department_counts(spark, sf):
+    return profile.department_counts(documents(spark, sf))
+
+
 @query("WITH l AS (SELECT lang || '/' || source || '/' || doc_id % 7 AS leaf, count(*) AS n FROM documents GROUP BY 1) SELECT count(*) AS n_leaves, count(CASE WHEN n < 30 THEN 1 END) AS n_thin, coalesce(sum(CASE WHEN n < 30 THEN n END), 0)::BIGINT AS docs_affected FROM l")
 def thin_leaves(spark, sf):
     docs = documents(spark, sf).select(F.array(F.concat_ws("/", "lang", "source", (F.col("doc_id") % 7).cast("string"))).alias("path"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise
+from ..storage import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,7 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, lang, source and the category path [lang, source]."""
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", F.array("lang", "source").alias("path"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(docs).withColumn("path", F.array("lang", "source"))
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def product_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One opening message per part: a third by template, a third in other words, a third naming only the type."""
-    p = products(spark, sf_dir)
+    p = spread(products(spark, sf_dir))
     label = F.concat_ws(" ", F.element_at("path", 1), F.element_at("path", 2))
     third = F.col("doc_id") % 3
     said = (
@@ -46,7 +48,7 @@ def product_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns of conversations; every fifth revokes something, the first names a type and brand."""
-    c = table(spark, sf_dir, "conversations").filter("role = 'user'")
+    c = spread(table(spark, sf_dir, "conversations").filter("role = 'user'"))
     key = F.col("conv_id") * 7 + F.col("turn")
     kind = F.element_at(F.array(*[F.lit(x) for x in TYPES]), (F.col("conv_id") % 6 + 1).cast("int"))
     named = F.concat(kind, F.lit(" brand#"), (F.col("conv_id") % 25 + 1).cast("string"))

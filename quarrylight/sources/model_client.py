@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import os
-import urllib.request
 from collections.abc import Callable
+from http.client import HTTPConnection, HTTPSConnection
 from pathlib import Path
+from urllib.parse import urlsplit
 
-READ_TIMEOUT = 12.0
+CONNECT_TIMEOUT, READ_TIMEOUT = 3.05, 12.0
+TASK = 'Order all candidates by how well they fit what the customer said. Answer with a JSON object only: {"ranked": [doc_id, ...]}.'
 
 
 def load_settings(path: str = ".env") -> dict[str, str]:
@@ -24,20 +26,44 @@ def load_settings(path: str = ".env") -> dict[str, str]:
     return found
 
 
-def http_caller(url: str, key: str | None, model: str, timeout: float = READ_TIMEOUT) -> Callable[[str], list[int]] | None:
-    """Posts a prompt and reads ids in order from the JSON object in the answer; None without a key."""
+def http_caller(url: str, key: str | None, model: str, read_timeout: float = READ_TIMEOUT, connect_timeout: float = CONNECT_TIMEOUT) -> Callable[[str], dict] | None:
+    """Posts a prompt; reads ids in order from the JSON object in the answer, and token counts from its usage. None without a key.
+
+    Connecting has a time limit of its own, so that an unreachable host costs
+    little.
+    """
     if not key:
         return None
+    place = urlsplit(url)
+    kind = HTTPSConnection if place.scheme == "https" else HTTPConnection
 
-    def call(prompt: str) -> list[int]:
-        body = json.dumps({"model": model, "prompt": prompt}).encode()
-        request = urllib.request.Request(url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
-        with urllib.request.urlopen(request, timeout=timeout) as answer:
-            return ranked_ids(answer.read().decode())
+    def call(prompt: str) -> dict:
+        body = json.dumps({"model": model, "system": TASK, "prompt": prompt}).encode()
+        conn = kind(place.hostname, place.port, timeout=connect_timeout)
+        try:
+            conn.connect()
+            conn.sock.settimeout(read_timeout)
+            conn.request("POST", place.path or "/", body, {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
+            answer = conn.getresponse()
+            text = answer.read().decode()
+            if answer.status >= 400:
+                raise OSError(f"status {answer.status}")
+        finally:
+            conn.close()
+        return {"ranked": ranked_ids(text), **used(text)}
 
     return call
 
 
+def used(text: str) -> dict[str, int]:
+    """Token counts of an answer that is a JSON object with a usage of its own; zeros otherwise."""
+    try:
+        usage = json.loads(text).get("usage") or {}
+    except (ValueError, AttributeError):
+        usage = {}
+    return {"prompt_tokens": int(usage.get("input_tokens", 0)), "completion_tokens": int(usage.get("output_tokens", 0))}
+
+
 def ranked_ids(text: str) -> list[int]:
     """The ids of the first-brace-to-last-brace object's ``ranked`` list."""
     start, end = text.find("{"), text.rfind("}")

@@ -7,6 +7,7 @@ words, bounded by what one customer can say.
 
 from __future__ import annotations
 
+import copy
 import json
 from collections.abc import Iterator
 
@@ -32,17 +33,23 @@ def parsed(turns: DataFrame) -> DataFrame:
         label = F.lit(None).cast("string") if name == "plain" else F.col(f"label_{name}")
         parts = T.preferred(T.segments(T.without_label(message, label)))
         said[name] = parts
+    reset = F.coalesce("reset", F.lit(False)) if "reset" in turns.columns else F.lit(False)
+    turns = turns.withColumns({"reset": reset, "message": F.coalesce("message", F.lit(""))})
     return turns.select(
-        "session", "turn", "message", "label_any", "label_verbatim", T.is_override(message).alias("is_override"), T.is_empty_turn(message).alias("empty"),
+        "session", "turn", "message", "reset", "label_any", "label_verbatim", T.is_override(message).alias("is_override"), T.is_empty_turn(message).alias("empty"),
         *[F.to_json(F.struct(p.alias("parts"), words(p).alias("words"))).alias(f"said_{n}") for n, p in said.items()],
     )
 
 
 def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Fold the new turns of one session, in order, into its state."""
-    now = json.loads(state.get[0]) if state.exists else {"turn": 0, "label": None, "values": [], "revoked": 0, "words": []}
+    fresh = {"turn": 0, "label": None, "values": [], "revoked": 0, "words": []}
+    now = json.loads(state.get[0]) if state.exists else copy.deepcopy(fresh)
     rows = []
     for r in pd.concat(list(batches)).sort_values("turn").itertuples(index=False):
+        if r.reset:  # the session starts anew and says nothing
+            now = copy.deepcopy(fresh)
+            continue
         now["turn"] += 1
         if r.is_override:
             now["revoked"] = len(now["values"])

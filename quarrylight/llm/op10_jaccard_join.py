@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, columns, dropped, pieces, scan, stored, text_hash, text_of
+from .common import LAST_ID, bounded, columns, dropped, pieces, scan, stored, text_hash, text_of
 from .components import components
 
 SHINGLE = 5
@@ -51,7 +51,7 @@ TILE = 256  # members of either side of the pairs compared at once
 PAIRS = 200_000  # pairs compared at once
 CELLS = 4_000_000  # cells of a membership matrix at once
 BROADCAST_ROWS = 500_000  # text hashes (8 bytes each) that may be broadcast; beyond it they are joined by shuffle
-WORD_BYTES = 96 << 20  # of words and their hashes that a worker keeps
+WORD_BYTES = 48 << 20  # of words and their hashes that a worker keeps
 
 _RNG = np.random.default_rng(20240229)
 A = (_RNG.integers(0, 1 << 31, HASHES, dtype=np.uint64) * 2 + 1).astype(np.uint32)[:, None]
@@ -79,8 +79,7 @@ def shingles(text: str) -> np.ndarray:
     new = set(words).difference(_words)
     if new:
         if _held > WORD_BYTES:
-            _words.clear()
-            _held = 0
+            forget()
             new = set(words)
         _words.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
         _held += sum(map(getsizeof, new)) + 140 * len(new)
@@ -93,6 +92,13 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(out)
 
 
+def forget() -> None:
+    """Give the words' memory back, for what the worker does next."""
+    global _held
+    _words.clear()
+    _held = 0
+
+
 def set_hashes(s: np.ndarray) -> tuple[int, int]:
     raw = s.tobytes()
     return xxhash.xxh3_64_intdigest(raw) - (1 << 63), xxhash.xxh3_64_intdigest(raw, 1) - (1 << 63)
@@ -202,8 +208,13 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 def clustered(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """Rows of a group (key, i, j) next to each other in one task."""
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
+    """Rows of a group (key, i, j) next to each other in one task.
+
+    Ranges of groups hold about as many rows each, which hashes of a few
+    hundred groups would not.  ``rows`` is read twice for that, so it should
+    start at stored tables.
+    """
+    return rows.repartitionByRange("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
 
 
 def signatures_of(column: pa.ChunkedArray) -> np.ndarray:
@@ -236,7 +247,8 @@ def bucket_links(members: DataFrame, least: list[int]) -> DataFrame:
             yield forest(t.column("row").to_numpy(), kept)
 
     zero = F.lit(0)
-    return clustered(members.select("key", zero.alias("i"), zero.alias("j"), "row", "sig"), run, "u long, v long")
+    rows = members.select("key", zero.alias("i"), zero.alias("j"), "row", "sig")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")  # many small groups
 
 
 def led(large: DataFrame, least: list[int]) -> DataFrame:
@@ -357,6 +369,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                 keys.append(key.astype(np.int64))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *[pa.array(c, t) for c, t in zip((s1, s2, size, sig, keys), types, strict=True)]], names=names)
+        forget()
 
     names = ["row", "doc_id", "tx", "s1", "s2", "n", "sig", "keys"]
     return docs.mapInArrow(run, "row long, doc_id long, tx long, s1 long, s2 long, n long, sig binary, keys array<long>")
@@ -368,6 +381,7 @@ def with_shingles(texts: DataFrame) -> DataFrame:
             sets = [shingles(t) for t in b.column(0).to_pylist()]
             s1, s2 = zip(*map(set_hashes, sets), strict=True) if sets else ([], [])
             yield pa.RecordBatch.from_arrays([pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["s1", "s2", "shingles"])
+        forget()
 
     return texts.select("text").mapInArrow(run, "s1 long, s2 long, shingles binary")
 
@@ -384,6 +398,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     a set has at most as many shingles as its text has words.  An empty table
     gives no rows.  Other columns are ignored.
     """
+    bounded(docs.sparkSession)
     least = least_matches(threshold, tolerance)
     docs = columns(docs, doc_id=id_col, text=text_col)
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), text_hash(text_of()).alias("tx"), text_of().alias("text"))
@@ -416,9 +431,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         wanted = F.broadcast(wanted)
     # Of copies of a text one is read; texts that only share its hash have other sets and find no member.
     texts = docs.join(wanted, "tx", "left_semi").groupBy("tx", F.xxhash64(F.lit("second"), "text")).agg(F.first("text").alias("text"))
-    placed = blocked(family.join(sizes, "key").join(with_shingles(texts), ["s1", "s2"])).select("key", "i", "j", "row", "block", "copies", "sig", "shingles")
+    members = stored(family.join(sizes, "key").join(with_shingles(texts), ["s1", "s2"]), "jaccard-members")
+    placed = blocked(members).select("key", "i", "j", "row", "block", "copies", "sig", "shingles")
     found = stored(family_links(placed, least, threshold), "jaccard-links")
-    dropped(family, tied)
+    dropped(family, members, tied)
     linked = components(found.select(F.col("row").alias("u"), F.col("root").alias("v")))
     counts = found.groupBy("row").agg(F.sum("links").alias("links"))
 

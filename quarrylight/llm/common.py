@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,15 +16,27 @@ from quarrylight.storage import dropped, shared_dir, spread, stored  # noqa: F40
 # White space of the contracts: U+0020 and U+0009 to U+000D.
 WS = " \t\n\x0b\x0c\r"
 LAST_ID = (1 << 63) - 1  # rank of a null id: after every other id
+BATCH_BYTES = 1 << 20  # of an Arrow batch between the JVM and Python, but for a single longer row
 PIECE_ROWS, PIECE_BYTES = 256, 4 << 20  # of a batch that Python works on at once
 
 
+def bounded(spark: SparkSession) -> None:
+    """Have Spark send Arrow batches of at most ``BATCH_BYTES``, for all operators alike; a smaller setting stays.
+
+    This is a setting of the session.  It bounds what the JVM and a Python
+    worker hold of a batch; limits on rows are not touched.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+    if not now or int(now[1]) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: int, rows: int = PIECE_ROWS, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to at most ``rows`` rows and ``size`` bytes of the text column, but for a single longer text.
 
-    Spark bounds the batches it sends by bytes (64 MB unless configured), but
-    what Python makes of a text is many times its size.  Cuts copy nothing and
-    no session setting is touched.
+    Spark bounds the batches it sends by bytes only, and what Python makes of
+    many short texts is many times their size.  Cuts copy nothing.
     """
     for b in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)

@@ -13,21 +13,22 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import pairwise
+from itertools import compress, filterfalse, pairwise
 from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-GENERATION = 96 << 20  # bytes of one of the two generations of chunks that a worker keeps
-ENTRY = 100  # bytes of a dictionary's entry beside its key and value
-PASS = (1024, 16 << 20)  # rows and bytes of text encoded at once, so that fewer chunks are distinct
+GENERATION = 64 << 20  # bytes of one of the two generations of chunks that a worker keeps
+ENTRY = 133  # bytes of a dictionary's entry beside its key and the ids in its value
+PASS = (4096, 6 << 20)  # rows or bytes of text that make a batch large enough, so that few of its chunks are distinct
 JOIN = 2_000  # new chunks given to the library in one string
-SEPARATOR = "\ue000"
-# A word of Latin letters with signs right after it: two pieces for either vocabulary.
-WORD_AND_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+# A word of Latin letters with signs (ASCII's but for the apostrophe) right after it: two pieces for either vocabulary.
+LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 # What follows white space as the byte-level patterns know it (U+001C to U+001F are none).
 CHUNKS = re.compile(r"[^\S\x1c-\x1f]*(?:\S|[\x1c-\x1f])+|[^\S\x1c-\x1f]+")
 AS_IS = "\x1c"  # begins a chunk that stands for the rest of its string
@@ -103,38 +104,45 @@ class Encoder:
         """The ids of distinct chunks.  What was met in the last generation moves to this one."""
         if self.held > GENERATION:
             self.known, self.older, self.held = {"": b""}, self.known, 0
-        found = list(map(self.known.get, chunks))
+        known, older = self.known, self.older
+        found = list(map(known.get, chunks))
         unmet = [i for i, ids in enumerate(found) if ids is None]
-        new = []
-        for i in unmet:
-            ids = self.older.get(chunks[i])
-            if ids is None:
-                new.append(chunks[i])
-            else:
-                self.known[chunks[i]] = ids
+        if not unmet:
+            return found
+        names = [chunks[i] for i in unmet]
+        got = list(map(older.get, names))  # each table is probed once, since that is what takes the time
+        new = [c for c, ids in zip(names, got, strict=True) if ids is None]
         if new:
-            self.learn(new)
-        for i in unmet:
-            found[i] = self.known[chunks[i]]
-            self.held += ENTRY + getsizeof(chunks[i]) + getsizeof(found[i])
+            fresh = self.learn(new)
+            got = [fresh[c] if ids is None else ids for c, ids in zip(names, got, strict=True)]
+        known.update(zip(names, got, strict=True))
+        self.held += ENTRY * len(names) + sum(map(getsizeof, names)) + sum(map(len, got))
+        for i, ids in zip(unmet, got, strict=True):
+            found[i] = ids
         return found
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: list[str]) -> dict[str, bytes]:
         """Words followed by signs are put together from their two pieces; the rest goes to the library."""
-        known, pairs, plain = self.known, [], []
+        fresh: dict[str, bytes] = {}
+        plain, pairs = [], []
         for chunk in new:
-            m = WORD_AND_SIGNS.fullmatch(chunk)
-            if m:
-                pairs.append((chunk, m[1], self.bare(m[2])))
+            word = "" if chunk.isalpha() else chunk.rstrip(SIGNS)
+            if word and len(word) < len(chunk) and LATIN(word):
+                pairs.append((chunk, word, self.bare(chunk[len(word) :])))
             else:
                 plain.append(chunk)
-        need = {k for _, a, b in pairs for k in (a, b)}.difference(known)
-        plain += need.difference(plain)
+        for _, word, signs in pairs:
+            if word not in fresh:
+                fresh[word] = self.known.get(word)
+            if signs not in fresh:
+                fresh[signs] = self.known.get(signs)
+        plain += [c for c in {k for k, ids in fresh.items() if ids is None}.difference(plain)]
         for i in range(0, len(plain), JOIN):
-            self.learn_plain(plain[i : i + JOIN])
-        for chunk, a, b in pairs:
-            known[chunk] = known[a] + known[b]
-        self.held += sum(ENTRY + getsizeof(k) + getsizeof(known[k]) for k in need)
+            part = plain[i : i + JOIN]
+            fresh.update(zip(part, self.learn_plain(part), strict=True))
+        for chunk, word, signs in pairs:
+            fresh[chunk] = fresh[word] + fresh[signs]
+        return fresh
 
 
 class WordEncoder(Encoder):
@@ -151,28 +159,31 @@ class WordEncoder(Encoder):
         # Neighbouring spaces give empty chunks, which have no ids.
         return pc.split_pattern(lowered, " ")
 
+    def __init__(self, path: str):
+        super().__init__(path)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        # The same model without the normalizer and pattern, for words that both leave as they are.
+        self.words = Tokenizer(self.tok.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
     bare = staticmethod(lambda s: s)
 
-    def learn_plain(self, chunks: list[str]) -> None:
-        mark = self.ids([SEPARATOR])[0]
-        joint = [c for c in chunks if SEPARATOR not in c]
-        if joint:
-            ids = self.ids([f" {SEPARATOR} ".join(joint)])[0]
-            found = ids[: len(ids) - len(mark) + 1] == mark[0]
-            for i in range(1, len(mark)):
-                found = found & (ids[i : len(ids) - len(mark) + 1 + i] == mark[i])
-            cuts = np.flatnonzero(found)
-            starts = np.concatenate([[0], cuts + len(mark)])
-            ends = np.concatenate([cuts, [len(ids)]])
-            if len(starts) != len(joint):
-                raise ValueError("the separator did not stay apart")
-            raw, w = ids.tobytes(), ids.itemsize
-            for chunk, s, e in zip(joint, (starts * w).tolist(), (ends * w).tolist(), strict=True):
-                self.known[chunk] = raw[s:e]
-        alone = [c for c in chunks if SEPARATOR in c]
-        if alone:
-            for chunk, own in zip(alone, self.ids(alone), strict=True):
-                self.known[chunk] = own.tobytes()
+    def learn_plain(self, chunks: list[str]) -> list[bytes]:
+        """Latin words go to the library together, since a word's last token says that it ends there; NFC leaves them as they are."""
+        latin = [bool(LATIN(c)) for c in chunks]
+        joint = list(compress(chunks, latin))
+        ids = np.array(self.words.encode_batch_fast([" ".join(joint).lower()], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(joint):
+            raise ValueError("words did not stay apart")
+        raw, ends = ids.tobytes(), (ends * ids.itemsize).tolist()
+        together = (raw[s:e] for s, e in pairwise([0, *ends]))
+        alone = (own.tobytes() for own in self.ids([c for c, one in zip(chunks, latin, strict=True) if not one]))
+        return [next(together if one else alone) for one in latin]
 
 
 def byte_chunks(text: str) -> list[str]:
@@ -221,20 +232,31 @@ class ByteEncoder(Encoder):
 
     bare = staticmethod(lambda s: AS_IS + s)
 
-    def learn_plain(self, chunks: list[str]) -> None:
-        joint = [c for c in chunks if c[0] not in "\n\x1c"]
-        if joint:
-            ids = self.ids([" " + " ".join(joint)])[0]
-            cuts = np.flatnonzero(self.begins[ids])
-            if len(cuts) != len(joint):
-                raise ValueError("words did not stay apart")
-            raw, w = ids.tobytes(), ids.itemsize
-            for chunk, s, e in zip(joint, (cuts * w).tolist(), [*(cuts[1:] * w).tolist(), len(raw)], strict=True):
-                self.known[chunk] = raw[s:e]
-        alone = [c for c in chunks if c[0] in "\n\x1c"]
-        if alone:
-            for chunk, own in zip(alone, self.ids([chunk_text(c) for c in alone]), strict=True):
-                self.known[chunk] = own.tobytes()
+    def learn_plain(self, chunks: list[str]) -> list[bytes]:
+        """Chunks that begin with a space go to the library together, since a word's first token holds it."""
+        spaced = [c[0] not in "\n\x1c" for c in chunks]
+        joint = list(compress(chunks, spaced))
+        ids = self.ids([" " + " ".join(joint) if joint else ""])[0]
+        cuts = np.flatnonzero(self.begins[ids])
+        if len(cuts) != len(joint):
+            raise ValueError("words did not stay apart")
+        raw, cuts = ids.tobytes(), (cuts * ids.itemsize).tolist()
+        together = (raw[s:e] for s, e in pairwise([*cuts, len(raw)]))
+        alone = (own.tobytes() for own in self.ids([chunk_text(c) for c, one in zip(chunks, spaced, strict=True) if not one]))
+        return [next(together if one else alone) for one in spaced]
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = PASS[0], size: int = PASS[1]) -> Iterator[pa.RecordBatch]:
+    """Small batches put together until they have ``rows`` rows or ``size`` bytes."""
+    held, n, full = [], 0, 0
+    for b in batches:
+        held.append(b)
+        n, full = n + b.num_rows, full + b.nbytes
+        if n >= rows or full >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n, full = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 class WholeEncoder(Encoder):

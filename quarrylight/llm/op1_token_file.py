@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from quarrylight.storage import app_folder
 
-from .common import columns, dropped, pieces, scan, stored
-from .encoding import PASS, encoder
+from .common import bounded, columns, dropped, scan, stored
+from .encoding import encoder, gathered
 
 MAGIC = np.array([int.from_bytes(b"QLTF", "little"), 1], "<u4").tobytes()
 SEGMENT_IDS = 1 << 18
@@ -101,10 +101,11 @@ def encoded(docs: DataFrame, tokenizer: str, kind: str | None, end_id: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, kind)
         end = np.array([end_id], enc.dtype).tobytes()
-        for b in pieces(batches, 1, *PASS):
+        for b in gathered(batches):
             ids = [x + end for x in enc.encode(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
+    bounded(docs.sparkSession)
     return docs.mapInArrow(run, "doc_id long, ids binary")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import pieces, scan, whole_row
+from .common import bounded, pieces, scan, whole_row
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -172,6 +172,7 @@ def quality(
             figures = [pa.array(x) for x in measure(b.column(1).to_pylist(), min_span)]
             yield pa.RecordBatch.from_arrays([b.column(0), *figures, *([b.column(2)] if carry else [])], names=schema.names)
 
+    bounded(docs.sparkSession)
     out = rows.mapInArrow(run, schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     good = (F.col("covered_words") <= max_covered * F.col("n_words")) & (F.col("longest_repeat") <= max_longest)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, scan
+from .common import bounded, pieces, scan
 
 SAMPLE = 2400  # labelled texts for training, all languages together
 LEAST = 20  # of each language, where it has them
@@ -146,6 +146,7 @@ def train(rows: DataFrame, size: int = SAMPLE) -> Model | None:
             cols = zip(*out, strict=True) if out else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.binary(), pa.binary()], strict=True)], names=["lang", "at", "n"])
 
+    bounded(rows.sparkSession)
     got = sample(rows.filter("lang is not null and text is not null"), size).mapInArrow(run, "lang string, at binary, n binary").collect()
     if not got:
         return None
@@ -184,6 +185,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             kept = [b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(lang), pa.array(score), pa.array(doubt)], names=schema.names)
 
+    bounded(docs.sparkSession)
     return rows.mapInArrow(run, schema)
 
 

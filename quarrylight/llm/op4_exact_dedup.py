@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, columns, dropped, scan, squeezed, stored, text_hash, text_of
+from .common import LAST_ID, bounded, columns, dropped, scan, squeezed, stored, text_hash, text_of
 
 OWNER_ROWS = 2_500_000  # fingerprints an owner should get at most, for the choice of their number
 SHARE = 256  # fingerprints that a source should send to an owner
@@ -144,6 +144,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Other input columns are ignored.
     """
     spark = docs.sparkSession
+    bounded(spark)
     text = squeezed(text_of()).cast("binary")
     docs = columns(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     digest = F.sha2(text, 256)

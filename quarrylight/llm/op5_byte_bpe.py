@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import columns, pieces, scan
+from .common import bounded, columns, pieces, scan
 from .encoding import byte_chunks, chunk_text
 
 NONE = np.int32(2**31 - 1)  # no merge
@@ -264,6 +264,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 ids = [enc.ids(places).astype("<u4").tobytes() for _, places in part]
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
+    bounded(docs.sparkSession)
     return columns(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, ids binary")
 
 
@@ -276,6 +277,7 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
             raw = [replay.decode(np.frombuffer(x or b"", "<u4")) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "decoded"])
 
+    bounded(tokens.sparkSession)
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
@@ -296,6 +298,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 [pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.string(), pa.string()], strict=True)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             )
 
+    bounded(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

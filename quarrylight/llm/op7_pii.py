@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import pieces, scan, whole_row
+from .common import bounded, pieces, scan, whole_row
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -180,6 +180,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
             made = [pa.array(c, pa.int64() if i < 5 else pa.string()) for i, c in enumerate(cols)]
             yield pa.RecordBatch.from_arrays([b.column(0), *made, *([b.column(2)] if carry else [])], names=schema.names)
 
+    bounded(docs.sparkSession)
     return rows.mapInArrow(run, schema)
 
 

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, pieces, scan, stored
-from .encoding import PASS, encoder
+from .common import bounded, columns, scan, stored
+from .encoding import encoder, gathered
 
 WINDOW = 1024
 OPEN = 64  # open windows of a partition; more hardly lower the padding
@@ -97,7 +97,7 @@ def packed(docs: DataFrame, path: str, kind: str | None, end_id: int, window: in
             return out
 
         width = enc.dtype.itemsize
-        for b in pieces(batches, 1, *PASS):
+        for b in gathered(batches):
             for doc_id, raw in zip(b.column(0).to_pylist(), enc.encode(b.column(1)), strict=True):
                 raw += end
                 total = len(raw) // width
@@ -113,6 +113,7 @@ def packed(docs: DataFrame, path: str, kind: str | None, end_id: int, window: in
         if rows:
             yield batch()
 
+    bounded(docs.sparkSession)
     return docs.mapInArrow(run, TYPES)
 
 

@@ -25,8 +25,10 @@ FEATURES = 1024  # features of a block of the product
 def grams(text: Column) -> Column:
     """Words and pairs of neighbouring words, accents stripped by the tokeniser's own split."""
     words = tokens(text)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
-    return F.concat(words, F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>")))
+    n = F.size(words)
+    # Shifted copies, since a lambda over places would find the words anew for each.
+    pairs = F.zip_with(F.slice(words, F.lit(1), n - 1), F.slice(words, F.lit(2), n - 1), lambda a, b: F.concat_ws(" ", a, b))
+    return F.concat(words, F.when(n > 1, pairs).otherwise(F.array().cast("array<string>")))
 
 
 @dataclass(frozen=True)

@@ -899,7 +899,7 @@ def integrated_runs(spark, sf):
     """The evaluation with the gate off, as shipped, asking for missing slots, and with stand-ins for a model."""
     p, c = cards(spark, sf)
     on = search.Config()
-    runs = {"gate off": (search.Config(hold=False), None), "shipped": (on, None), "clarify": (search.Config(clarify=True), None), **{m: (on, rerank.stub(m)) for m in ("identity", "reverse", "shuffle")}}
+    runs = {"gate off": (search.Config(hold=False), None), "shipped": (on, None), "clarify": (search.Config(clarify=True), None), **{m: (on, rerank.stub(m)) for m in ("reverse", "shuffle")}}
     return simulate.integrated(samples(spark, sf), p, c, runs)
 
 

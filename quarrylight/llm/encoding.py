@@ -22,9 +22,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-GENERATION = 64 << 20  # bytes of one of the two generations of chunks that a worker keeps
+GENERATION = 48 << 20  # bytes of one of the two generations of chunks that a worker keeps
 ENTRY = 133  # bytes of a dictionary's entry beside its key and the ids in its value
-PASS = (4096, 6 << 20)  # rows or bytes of text that make a batch large enough, so that few of its chunks are distinct
+PASS = (1024, 3 << 20)  # rows or bytes of text that make a batch large enough, so that few of its chunks are distinct
 JOIN = 2_000  # new chunks given to the library in one string
 # A word of Latin letters with signs (ASCII's but for the apostrophe) right after it: two pieces for either vocabulary.
 LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, bounded, columns, dropped, pieces, scan, stored, text_hash, text_of
+from .common import LAST_ID, bounded, columns, dropped, give_back, pieces, scan, stored, text_hash, text_of
 from .components import components
 
 SHINGLE = 5
@@ -97,6 +97,7 @@ def forget() -> None:
     global _held
     _words.clear()
     _held = 0
+    give_back()
 
 
 def set_hashes(s: np.ndarray) -> tuple[int, int]:
@@ -340,6 +341,7 @@ def family_links(members: DataFrame, least: list[int], threshold: float) -> Data
                 root = roots(len(row), a, b)
                 at = np.flatnonzero(links)
                 yield pa.RecordBatch.from_arrays([pa.array(row[at]), pa.array(row[root[at]]), pa.array(links[at].astype(np.int64))], names=["row", "root", "links"])
+        give_back()
 
     return clustered(members, run, "row long, root long, links long")
 

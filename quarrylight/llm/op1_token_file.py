@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.storage import app_folder
 
-from .common import bounded, columns, dropped, scan, stored
+from .common import bounded, columns, dropped, give_back, scan, stored
 from .encoding import encoder, gathered
 
 MAGIC = np.array([int.from_bytes(b"QLTF", "little"), 1], "<u4").tobytes()
@@ -104,6 +104,7 @@ def encoded(docs: DataFrame, tokenizer: str, kind: str | None, end_id: int) -> D
         for b in gathered(batches):
             ids = [x + end for x in enc.encode(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        give_back()
 
     bounded(docs.sparkSession)
     return docs.mapInArrow(run, "doc_id long, ids binary")

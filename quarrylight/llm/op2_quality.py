@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import bounded, pieces, scan, whole_row
+from .common import bounded, give_back, pieces, scan, whole_row
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -171,6 +171,7 @@ def quality(
         for b in pieces(batches, 1):
             figures = [pa.array(x) for x in measure(b.column(1).to_pylist(), min_span)]
             yield pa.RecordBatch.from_arrays([b.column(0), *figures, *([b.column(2)] if carry else [])], names=schema.names)
+        give_back()
 
     bounded(docs.sparkSession)
     out = rows.mapInArrow(run, schema)

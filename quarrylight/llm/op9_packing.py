@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, columns, scan, stored
+from .common import bounded, columns, give_back, scan, stored
 from .encoding import encoder, gathered
 
 WINDOW = 1024
@@ -112,6 +112,7 @@ def packed(docs: DataFrame, path: str, kind: str | None, end_id: int, window: in
             emit(number, True)
         if rows:
             yield batch()
+        give_back()
 
     bounded(docs.sparkSession)
     return docs.mapInArrow(run, TYPES)

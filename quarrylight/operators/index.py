@@ -43,13 +43,13 @@ def postings(terms: DataFrame) -> DataFrame:
 class Corpus:
     """What one pass over a corpus leaves, stored; all rankers read it."""
 
-    postings: DataFrame  # term, doc_id, tf, len
+    postings: DataFrame  # term, doc_id, tf, len, and the column that was asked for
     stats: DataFrame  # one row
     idf: DataFrame  # term, idf: at most the vocabulary asked for
 
 
-def corpus(docs: DataFrame, fields: dict[str, float], vocabulary: DataFrame | None = None) -> Corpus:
-    """Index a corpus in one pass, for the terms of ``vocabulary`` (term) or for all.
+def corpus(docs: DataFrame, fields: dict[str, float], vocabulary: DataFrame | None = None, same: str | None = None) -> Corpus:
+    """Index a corpus in one pass, for the terms of ``vocabulary`` (term) or for all; ``same`` names a column that postings carry.
 
     Words that nobody asks for count towards a document's length and are summed
     up where they are read, so what is shuffled has a row for each document and
@@ -64,7 +64,8 @@ def corpus(docs: DataFrame, fields: dict[str, float], vocabulary: DataFrame | No
     stats = stored(corpus_stats(lengths), "corpus-stats")
     post = counted.filter("term is not null")
     idf_ = stored(term_stats(post, stats).select("term", "idf"), "corpus-idf")
-    post = stored(post.join(lengths, "doc_id").select("term", "doc_id", "tf", "len"), "corpus-postings")
+    carried = lengths.join(docs.select("doc_id", same).distinct(), "doc_id") if same else lengths
+    post = stored(post.join(carried, "doc_id").select("term", "doc_id", "tf", "len", *([same] if same else [])), "corpus-postings")
     dropped(counted, lengths)
     return Corpus(post, stats, idf_)
 

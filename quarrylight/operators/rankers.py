@@ -25,13 +25,15 @@ def query_terms(queries: DataFrame, text: str = "text", weight: Column | None =
     return rows.groupBy("query_id", "term").agg(F.sum("w").alias("weight")).filter("weight > 0")
 
 
-def bm25(terms: DataFrame, corpus: index.Corpus, pool: DataFrame | None = None) -> DataFrame:
+def bm25(terms: DataFrame, corpus: index.Corpus, pool: DataFrame | None = None, same: str | None = None) -> DataFrame:
     """BM25 of documents for weighted query terms, rounded to 6 decimals.
 
     The pool (query_id, doc_id), if given, is applied before scores are summed.
+    With ``same``, a column of the terms and postings, only equal values meet.
     """
-    asked = terms.join(corpus.idf, "term").select("query_id", "term", (F.col("weight") * F.col("idf")).alias("factor"))
-    rows = corpus.postings.join(small(asked), "term")
+    by = ["term", *([same] if same else [])]
+    asked = terms.join(corpus.idf, "term").select("query_id", *by, (F.col("weight") * F.col("idf")).alias("factor"))
+    rows = corpus.postings.join(small(asked), by)
     if pool is not None:
         rows = rows.join(pool.select("query_id", "doc_id"), ["query_id", "doc_id"])
     rows = rows.crossJoin(F.broadcast(corpus.stats.select("avg_len")))  # one row

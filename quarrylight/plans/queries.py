@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import turns as T
-from ..operators import category, contract, dense, fusion, index, metrics, profile, rankers, rerank, session
+from ..operators import category, contract, dense, fusion, index, metrics, pooled, profile, rankers, rerank, session
 from ..operators.sizes import small
 from ..ship import ship
 from ..storage import stored
@@ -137,17 +137,18 @@ def term_idf(spark, sf):
 
 
 class Passages:
-    """Passages as queries over documents, which are read once for all rankers."""
+    """Passages as queries over documents, which are read once for all rankers; with ``same`` a query meets documents of its language only."""
 
-    def __init__(self, spark, sf, weight=None):
+    def __init__(self, spark, sf, weight=None, same=None):
         asked = questions(spark, sf)
-        self.docs = documents(spark, sf)
-        self.terms = stored(rankers.query_terms(asked, weight=weight), "terms")
-        self.corpus = index.corpus(self.docs, TEXT, self.terms)
+        self.docs, self.same = documents(spark, sf), same
+        terms = rankers.query_terms(asked, weight=weight)
+        self.terms = stored(terms.join(languages(spark, sf), "query_id") if same else terms, "terms")
+        self.corpus = index.corpus(self.docs, TEXT, self.terms, same)
         self.phrases = asked.select("query_id", F.col("text").alias("phrase"))
 
     def lexical(self, pool=None) -> DataFrame:
-        return rankers.bm25(self.terms, self.corpus, pool)
+        return rankers.bm25(self.terms, self.corpus, pool, self.same)
 
     def evidence(self, pool=None) -> DataFrame:
         rarity = stored(rankers.phrase_rarity(self.phrases, self.corpus.idf), "rarity")
@@ -157,10 +158,10 @@ class Passages:
         text = self.docs.select("doc_id", F.lower(F.concat_ws(" ", "path")).alias("category_text"))
         return rankers.category_affinity(self.terms, self.corpus.idf, pool.join(text, "doc_id"))
 
-    def components(self, pool) -> DataFrame:
-        """All rankers over each query's pool."""
-        rows = fusion.over_pool(pool, self.lexical(pool), "lexical").unionByName(fusion.over_pool(pool, self.evidence(pool), "phrase"))
-        return rows.unionByName(self.affinity(pool).select("query_id", F.lit("category").alias("ranker"), "doc_id", "score"))
+    def fused(self, pool, evidence, points=None, k=None) -> DataFrame:
+        """All rankers over each query's pool (query_id, doc_id, category_text), fused at each point of weights."""
+        found = self.lexical().withColumn("ranker", F.lit("lexical")).unionByName(evidence.withColumn("ranker", F.lit("phrase")))
+        return pooled.fused(rankers.category_affinity(self.terms, self.corpus.idf, pool), found, points, k)
 
 
 def top(rows: DataFrame, k: int = K) -> DataFrame:
@@ -182,10 +183,14 @@ def bm25_weighted_terms(spark, sf):
     return top(Passages(spark, sf, weight).lexical())
 
 
+def languages(spark, sf) -> DataFrame:
+    """(query_id, lang): the language that a query's id picks."""
+    return questions(spark, sf).select("query_id", F.element_at(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), (F.col("query_id") % 4 + 1).cast("int")).alias("lang"))
+
+
 def language_pool(spark, sf) -> DataFrame:
     """Each query's pool: documents of the language that its id picks."""
-    q = questions(spark, sf).select("query_id", F.element_at(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), (F.col("query_id") % 4 + 1).cast("int")).alias("lang"))
-    return documents(spark, sf).select("doc_id", "lang").join(small(q), "lang").select("query_id", "doc_id")
+    return documents(spark, sf).select("doc_id", "lang").join(small(languages(spark, sf)), "lang").select("query_id", "doc_id")
 
 
 POOL = "pool AS (SELECT item_id AS query_id, doc_id FROM benchmark JOIN documents ON lang = ['de', 'en', 'es', 'fr'][(item_id % 4 + 1)::INT])"
@@ -223,9 +228,13 @@ def rank_positions(spark, sf):
     return fusion.rank_positions(Passages(spark, sf).lexical()).withColumn("rank", F.col("rank").cast("long"))
 
 
-def fused(spark, sf) -> DataFrame:
-    """Lexical, category and phrase rankers over each query's pool, fused."""
-    return fusion.rrf(Passages(spark, sf).components(stored(language_pool(spark, sf), "pool")))
+def fused(spark, sf, points=None, k=None) -> tuple[DataFrame, DataFrame]:
+    """Lexical, category and phrase rankers over each query's pool, fused; and the phrase evidence."""
+    p = Passages(spark, sf, same="lang")
+    text = F.lower(F.concat_ws(" ", "path")).alias("category_text")
+    pool = p.docs.select("doc_id", "lang", text).join(small(languages(spark, sf)), "lang").select("query_id", "doc_id", "category_text")
+    evidence = stored(p.evidence(), "evidence")
+    return p.fused(pool, evidence, points, k), evidence
 
 
 RRF = f"""{POOL}, {S.LEXICAL}, {S.PHRASE}, {AFFINITY},
@@ -238,12 +247,12 @@ fused AS (SELECT query_id, doc_id, round(sum(CASE WHEN signal > 0 THEN w / (60::
 
 @query(f"WITH {S.BASE}, {RRF} SELECT query_id, doc_id, round(score, 6) AS score FROM fused")
 def rrf_fusion(spark, sf):
-    return fused(spark, sf).withColumn("score", F.round("score", 6))
+    return fused(spark, sf)[0].select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {S.BASE}, {RRF} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ({TOP.format(rows='fused')})")
 def fused_topk(spark, sf):
-    return top(fused(spark, sf)).withColumn("score", F.round("score", 6))
+    return fused(spark, sf, k=K)[0].select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""WITH {S.BASE}, {S.LEXICAL}, {S.PHRASE},
@@ -821,15 +830,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY score DESC, config
 SELECT fold, arg_min(config, rank) AS best_config, max(score) AS best, min(score) AS worst, round(max(score) - min(score), 6) AS spread, min(CASE WHEN config = 'phrase=1.0 category=0.4' THEN rank END) AS shipped_rank FROM r GROUP BY fold""")
 def grid_summary(spark, sf):
     """Mean reciprocal rank of passages in two folds for nine pairs of fusion weights, from one ranking."""
-    p = Passages(spark, sf)
-    pool = stored(language_pool(spark, sf), "pool")
-    ranked = fusion.ranks(p.components(pool))
-    grid = F.broadcast(spark.createDataFrame([(f"phrase={a} category={b}", a, b) for a, b in WEIGHT_GRID], "config string, pw double, cw double"))  # nine rows
-    weight = F.when(F.col("ranker") == "phrase", F.col("pw")).when(F.col("ranker") == "category", F.col("cw")).otherwise(1.0)
-    tops = fusion.top_k(fusion.fused(ranked.crossJoin(grid), weight, by=["config"]), K, ["config"])
-    truth = p.evidence(pool).select("query_id", "doc_id")
+    points = {f"phrase={a} category={b}": fusion.WEIGHTS | {"phrase": a, "category": b} for a, b in WEIGHT_GRID}
+    tops, truth = fused(spark, sf, points, K)
+    tops = stored(tops.withColumnRenamed("point", "config"), "tops")
+    grid = F.broadcast(spark.createDataFrame([(name,) for name in points], "config string"))  # nine rows
     best = tops.join(truth, ["query_id", "doc_id"], "left_semi").groupBy("config", "query_id").agg(F.min("rank").alias("best"))
-    every = questions(spark, sf).select("query_id").crossJoin(grid.select("config"))
+    every = questions(spark, sf).select("query_id").crossJoin(grid)
     score = F.round(F.avg(F.coalesce(1 / F.col("best"), F.lit(0.0))), 6)
     runs = every.join(best, ["config", "query_id"], "left").groupBy((F.col("query_id") % 2).alias("fold"), "config").agg(score.alias("score"))
     return metrics.grid_summary(runs, F.col("config") == "phrase=1.0 category=0.4")

@@ -1,6 +1,19 @@
 """What stored tables cost in files."""
 
+from pathlib import Path
+from urllib.parse import urlparse
+
+from pyspark.sql import functions as F
+
 from quarrylight.plans import simulate
+from quarrylight.storage import stored
+
+
+def test_stored_tables_have_no_marker(spark):
+    table = stored(spark.range(100).repartition(3), "numbers")
+    assert table.agg(F.sum("id")).head()[0] == 4950
+    folder = Path(urlparse(table.inputFiles()[0]).path).parent
+    assert list(folder.glob("part-*.parquet")) and not (folder / "_SUCCESS").exists()
 
 
 def test_conversations_are_written_by_as_many_tasks_as_one_turn(spark):
